@@ -1,0 +1,77 @@
+"""Top N of millions of groups by descending score bands."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..session import stored_bytes, written
+
+#: A table of filled groups up to this size on disk is broadcast; beyond it the anti-join is shuffled.
+BROADCAST_BYTES = 4 << 20
+
+
+def top_n_by_bands(df: DataFrame, groups: list[str], score: str, ties: list[Column], n: int, shares: tuple[float, ...] = (0.98, 0.85, 0.5)) -> DataFrame:
+    """The ``n`` best rows of each group by ``score`` descending, then ``ties``.
+
+    Rows that agree in every column are one (repeat deliveries): they are
+    counted once. Rows with a null group column or a null score don't take
+    part. ``ties`` should make the order total. Groups with fewer than ``n``
+    rows give all they have; an empty table gives an empty one.
+
+    The distinct rows are written once, by score band (``shares`` are the
+    quantiles between the bands; where they fall changes the work, never the
+    result). Bands are processed from the top. In each, rows of groups that
+    are filled already are anti-joined away; the others are ranked exactly,
+    and a group takes as many as it still lacks. Ranking cuts each map task to
+    ``n`` rows per group before the exchange, so a group that holds a third of
+    all rows, or of all ties, reaches no single task.
+    """
+    ok = F.col(score).isNotNull()
+    for g in groups:
+        ok = ok & F.col(g).isNotNull()
+    rows = df.where(ok)
+    edges = sorted({float(e) for e in rows.select(F.col(score).cast("double").alias("s")).approxQuantile("s", list(shares), 0.005)}, reverse=True)
+    band = F.lit(len(edges))
+    for i, e in reversed(list(enumerate(edges))):
+        band = F.when(F.col(score) > e, F.lit(i)).otherwise(band)
+    columns = df.columns
+    banded = written(rows.distinct().withColumn("__band", band), "bands", partition_by=["__band"])
+    parts: list[DataFrame] = []
+    have: DataFrame | None = None
+    for b in range(len(edges) + 1):
+        now = banded.where(F.col("__band") == b).select(*columns)
+        if have is not None:
+            filled = written(have.where(F.col("__n") >= n).select(*groups), "filled")
+            now = _without(now, filled, groups, n, score, ties)
+        ranked = now.withColumn("__rank", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(score), *ties))).where(F.col("__rank") <= n)
+        if have is not None:
+            lacking = ranked.join(have.where(F.col("__n") < n), groups, "left")
+            ranked = lacking.where(F.col("__rank") <= n - F.coalesce(F.col("__n"), F.lit(0))).drop("__n")
+        taken = written(ranked.drop("__rank"), f"band-{b}")
+        parts.append(taken)
+        if b < len(edges):
+            counts = taken.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+            have = counts if have is None else have.unionByName(counts).groupBy(*groups).agg(F.sum("__n").alias("__n"))
+            have = written(have, "have")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _without(rows: DataFrame, filled: DataFrame, groups: list[str], n: int, score: str, ties: list[Column]) -> DataFrame:
+    """Anti-join of the filled groups, broadcast if their table is proven small.
+
+    Else the rows are cut to the best ``n`` per group first, so that the
+    shuffled anti-join meets no large group.
+    """
+    if _size(filled) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(filled), groups, "left_anti")
+    cut = rows.withColumn("__c", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(score), *ties))).where(F.col("__c") <= n).drop("__c")
+    return cut.join(filled, groups, "left_anti")
+
+
+def _size(df: DataFrame) -> int:
+    files = df.inputFiles()
+    return sum(stored_bytes(df.sparkSession, f) for f in files)
