@@ -72,16 +72,23 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, ids array<int>")
 
 
-def spans(text: str, pieces: list[str], table: dict[str, int]) -> tuple[list[int], list[int], list[int]]:
-    """Of each token: first byte, first character, and the character behind its last.
+def token_bytes(t) -> dict[int, bytes]:
+    """The bytes that each id stands for."""
+    table = byte_table()
+    raw = {i: bytes(table[c] for c in s) for s, i in t.get_vocab().items() if all(c in table for c in s)}
+    return raw | {i: s.content.encode() for i, s in t.get_added_tokens_decoder().items()}
+
+
+def spans(text: str, sizes: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Of each token, given by its number of bytes: first byte, first character, and the character behind its last.
 
     A token that begins or ends inside a character covers the whole character,
     so the tokens of a split character share it.
     """
     at, starts = 0, []
-    for p in pieces:
+    for n in sizes:
         starts.append(at)
-        at += len(p)
+        at += n
     if text.isascii():
         return starts, starts, [*starts[1:], at] if starts else []
     char_of, n = [0] * (at + 1), 0
@@ -100,14 +107,15 @@ def encode_with_offsets(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     """``encode`` with, per token, byte_start, char_start and char_end in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, table = load(path), byte_table()
+        t = load(path)
+        size = {i: len(x) for i, x in token_bytes(t).items()}
         ints = pa.list_(pa.int32())
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             out: list[list] = [[], [], [], []]
             for part in _chunks(texts):
                 for x, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)):
-                    got = (e.ids, *spans(x, e.tokens, table))
+                    got = (e.ids, *spans(x, [size[i] for i in e.ids]))
                     for col, v in zip(out, got):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, ints) for c in out]], [doc_id, "ids", "byte_start", "char_start", "char_end"])
@@ -126,9 +134,7 @@ def decode(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, table = load(path), byte_table()
-        raw = {i: bytes(table[c] for c in s) for s, i in t.get_vocab().items() if all(c in table for c in s)}
-        raw |= {i: s.content.encode() for i, s in t.get_added_tokens_decoder().items()}
+        raw = token_bytes(load(path))
         for b in batches:
             texts, broken = [], []
             for x in b.column(1).to_pylist():
