@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored_bytes, written
+from .names import free_name
 
 #: A table of filled groups up to this size on disk is broadcast; beyond it the anti-join is shuffled.
 BROADCAST_BYTES = 4 << 20
@@ -31,28 +32,30 @@ def top_n_by_bands(df: DataFrame, groups: list[str], score: str, ties: list[Colu
     for g in groups:
         ok = ok & F.col(g).isNotNull()
     rows = df.where(ok)
-    edges = sorted({float(e) for e in rows.select(F.col(score).cast("double").alias("s")).approxQuantile("s", list(shares), 0.005)}, reverse=True)
+    quantiles = rows.select(F.col(score).cast("double").alias("s")).approxQuantile("s", list(shares), 0.005) if shares else []
+    edges = sorted(set(quantiles), reverse=True)
     band = F.lit(len(edges))
     for i, e in reversed(list(enumerate(edges))):
         band = F.when(F.col(score) > e, F.lit(i)).otherwise(band)
     columns = df.columns
-    banded = written(rows.distinct().withColumn("__band", band), "bands", partition_by=["__band"])
+    band_name, rank, got = (free_name(columns, c) for c in ("__band", "__rank", "__n"))
+    banded = written(rows.distinct().withColumn(band_name, band), "bands", partition_by=[band_name])
     parts: list[DataFrame] = []
     have: DataFrame | None = None
     for b in range(len(edges) + 1):
-        now = banded.where(F.col("__band") == b).select(*columns)
+        now = banded.where(F.col(band_name) == b).select(*columns)
         if have is not None:
-            filled = written(have.where(F.col("__n") >= n).select(*groups), "filled")
+            filled = written(have.where(F.col(got) >= n).select(*groups), "filled")
             now = _without(now, filled, groups, n, score, ties)
-        ranked = now.withColumn("__rank", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(score), *ties))).where(F.col("__rank") <= n)
+        ranked = now.withColumn(rank, F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(score), *ties))).where(F.col(rank) <= n)
         if have is not None:
-            lacking = ranked.join(have.where(F.col("__n") < n), groups, "left")
-            ranked = lacking.where(F.col("__rank") <= n - F.coalesce(F.col("__n"), F.lit(0))).drop("__n")
-        taken = written(ranked.drop("__rank"), f"band-{b}")
+            lacking = ranked.join(have.where(F.col(got) < n), groups, "left")
+            ranked = lacking.where(F.col(rank) <= n - F.coalesce(F.col(got), F.lit(0))).drop(got)
+        taken = written(ranked.drop(rank), f"band-{b}")
         parts.append(taken)
         if b < len(edges):
-            counts = taken.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-            have = counts if have is None else have.unionByName(counts).groupBy(*groups).agg(F.sum("__n").alias("__n"))
+            counts = taken.groupBy(*groups).agg(F.count(F.lit(1)).alias(got))
+            have = counts if have is None else have.unionByName(counts).groupBy(*groups).agg(F.sum(got).alias(got))
             have = written(have, "have")
     out = parts[0]
     for p in parts[1:]:
@@ -68,7 +71,8 @@ def _without(rows: DataFrame, filled: DataFrame, groups: list[str], n: int, scor
     """
     if _size(filled) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(filled), groups, "left_anti")
-    cut = rows.withColumn("__c", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(score), *ties))).where(F.col("__c") <= n).drop("__c")
+    cut_rank = free_name(rows.columns, "__c")
+    cut = rows.withColumn(cut_rank, F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(score), *ties))).where(F.col(cut_rank) <= n).drop(cut_rank)
     return cut.join(filled, groups, "left_anti")
 
 

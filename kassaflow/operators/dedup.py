@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from .names import free_name
+
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """One row per key, the first by ``order``, which should be total.
@@ -13,7 +16,8 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column | str]) -> Da
     exchange too, so a key that holds a third of all rows is cut per task.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") == 1).drop("__rank")
+    name = free_name(df.columns, "__rank")
+    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) == 1).drop(name)
 
 
 def dense_positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
@@ -23,16 +27,14 @@ def dense_positions(df: DataFrame, order: list[str], name: str = "position") ->
     rows before it. Only the counts per partition reach the driver.
     """
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), *[F.col(c) for c in order]).withColumn("__p", F.spark_partition_id())
-    w = Window.partitionBy("__p").orderBy(*order)
-    from ..session import written
-
-    numbered = written(ranged.withColumn("__i", F.row_number().over(w)), "positions")
-    counts = sorted((r["__p"], r["n"]) for r in numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())
+    p, i = free_name(df.columns, "__p"), free_name(df.columns, "__i")
+    ranged = df.repartitionByRange(int(parts), *[F.col(c) for c in order]).withColumn(p, F.spark_partition_id())
+    numbered = written(ranged.withColumn(i, F.row_number().over(Window.partitionBy(p).orderBy(*order))), "positions")
+    counts = sorted((r[0], r[1]) for r in numbered.groupBy(p).agg(F.count(F.lit(1))).collect())
     before, total = {}, 0
-    for p, n in counts:
-        before[p], total = total, total + n
+    for part, n in counts:
+        before[part], total = total, total + n
     if not before:
-        return numbered.withColumn(name, F.lit(None).cast("long")).drop("__p", "__i")
-    offset = F.element_at(F.create_map(*[F.lit(int(x)).cast("long") for kv in before.items() for x in kv]), F.col("__p").cast("long"))
-    return numbered.withColumn(name, (offset + F.col("__i")).cast("long")).drop("__p", "__i")
+        return numbered.drop(p, i).withColumn(name, F.lit(None).cast("long"))
+    offset = F.element_at(F.create_map(*[F.lit(int(x)).cast("long") for kv in before.items() for x in kv]), F.col(p).cast("long"))
+    return numbered.withColumn(name, (offset + F.col(i)).cast("long")).drop(*{p, i} - {name})

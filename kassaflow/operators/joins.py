@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import name_or_key
+from .names import free_name
 
 
 def unique_keys(dim: DataFrame, key: str, value: str, last_by: list[Column] | None = None) -> DataFrame:
@@ -26,9 +27,9 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, last_by: list[Co
     only if its size is below Spark's threshold, which adaptive execution
     checks at run time; else both sides are shuffled. A null key gives null.
     """
-    d = unique_keys(dim.select(key, value, *[]) if last_by is None else dim, key, value, last_by)
-    d = d.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
-    out = df.join(d, F.col(key) == F.col("__k"), "left").withColumn(value, name_or_key("__v", F.col(key).cast("string"))).drop("__k", "__v")
+    k, v = free_name(df.columns, "__k"), free_name(df.columns, "__v")
+    d = unique_keys(dim, key, value, last_by).select(F.col(key).alias(k), F.col(value).alias(v))
+    out = df.join(d, F.col(key) == F.col(k), "left").withColumn(value, name_or_key(v, F.col(key).cast("string"))).drop(k, v)
     return out if keep_key else out.drop(key)
 
 

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from ..schemas import COLUMNS
 
 QUOTE_COST, DELIMITER_COST = 1000.0, 1.0
-#: Beyond this many pieces a record's quote cost is found first and delimiter edits by count only.
 _PIECES = re.compile(r'["]|,|[^",]+')
 _STRICT = re.compile(r'(?:"[^"]*(?:""[^"]*)*"|[^",]*)(?:,(?:"[^"]*(?:""[^"]*)*"|[^",]*))*')
 _FIELD = re.compile(r'"([^"]*(?:""[^"]*)*)"(?:,|$)|([^",]*)(?:,|$)')
@@ -116,13 +115,13 @@ def cheapest_parse(line: str, columns: int) -> tuple[float, list[str], int]:
     """(cost, edits, columns) of the cheapest parse of a record into ``columns`` values.
 
     Edits read ``insert_quote@7``; the number is the place in the record. The
-    count of columns is followed up to ``columns`` and one more, which stands
-    for all beyond, so the work is linear in the length of the record.
-    ``columns`` of the result is the count before delimiters were inserted or
-    deleted.
+    count of columns is followed up to one more than ``columns``; from there on
+    every delimiter is a deletion, so the work is linear in the length of the
+    record. ``columns`` of the result is the count before delimiters were
+    inserted or deleted.
     """
     pieces = [(m.start(), m[0]) for m in _PIECES.finditer(line)]
-    top = columns + 1
+    top = columns
     # best[(state, count)] = (cost, back pointer chain of edits); count = delimiters that stand so far
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(_START, 0): (0.0, None)}
 
@@ -137,7 +136,7 @@ def cheapest_parse(line: str, columns: int) -> tuple[float, list[str], int]:
     for i, (at, x) in enumerate(pieces):
         nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (s, n), (cost, chain) in best.items():
-            one = min(n + 1, top)
+            one, more, cut = (n + 1, 0.0, chain) if n < top else (top, DELIMITER_COST, edit(chain, "delete_delimiter", at) if x == "," else chain)
             if x == '"':
                 put(nxt, (s, n), cost + QUOTE_COST, edit(chain, "delete_quote", at))
                 if s == _START:
@@ -148,13 +147,13 @@ def cheapest_parse(line: str, columns: int) -> tuple[float, list[str], int]:
                     # a doubled quote is one that stands for itself
                     if pieces[i - 1][1] == '"':
                         put(nxt, (_QUOTED, n), cost, chain)
-                    put(nxt, (_QUOTED, one), cost + QUOTE_COST, edit(chain, "separate_values", at))
+                    put(nxt, (_QUOTED, one), cost + more + QUOTE_COST, edit(cut, "separate_values", at))
             elif x == ",":
                 if s == _QUOTED:
                     put(nxt, (s, n), cost, chain)
-                    put(nxt, (_START, one), cost + QUOTE_COST, edit(chain, "insert_quote", at))
+                    put(nxt, (_START, one), cost + more + QUOTE_COST, edit(cut, "insert_quote", at))
                 else:
-                    put(nxt, (_START, one), cost, chain)
+                    put(nxt, (_START, one), cost + more, cut)
             else:
                 if s in (_START, _BARE):
                     put(nxt, (_BARE, n), cost, chain)
@@ -163,7 +162,7 @@ def cheapest_parse(line: str, columns: int) -> tuple[float, list[str], int]:
                 elif s == _QUOTED:
                     put(nxt, (s, n), cost, chain)
                 else:
-                    put(nxt, (_BARE, one), cost + QUOTE_COST, edit(chain, "separate_values", at))
+                    put(nxt, (_BARE, one), cost + more + QUOTE_COST, edit(cut, "separate_values", at))
         best = nxt
     ends: dict[tuple[int, int], tuple[float, tuple | None]] = {}
     for (s, n), (cost, chain) in best.items():
@@ -178,8 +177,9 @@ def cheapest_parse(line: str, columns: int) -> tuple[float, list[str], int]:
         edits.append(chain[1])
         chain = chain[0]
     edits.reverse()
+    stood = n + 1 + sum(e.startswith("delete_delimiter") for e in edits)
     edits += ["insert_delimiter" if n + 1 < columns else "delete_delimiter"] * abs(n + 1 - columns)
-    return total(end), edits, n + 1
+    return total(end), edits, stood
 
 
 def judge(table: str | None, columns: int | None, raw: str | None) -> tuple[str | None, str | None, list[str] | None]:

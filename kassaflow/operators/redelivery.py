@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import _fs, remove, written
+from .names import free_name
 
 #: Numbers of batches that the manifest remembers; a stream replays only its last one.
 KEPT_BATCHES = 1000
@@ -47,12 +48,17 @@ class MessageStore:
         if (text := _read_text(self.spark, f"{self.path}/manifest.json")) is not None:
             self.manifest = json.loads(text)
 
+    @property
+    def part(self) -> str:
+        """The partition column; its name is fixed by the first batch, so that it clashes with none of the columns."""
+        return self.manifest["part"]
+
     # -- reading
 
     def partitions(self, names: list[str] | None = None) -> list[str]:
         """Folders of the current version of the partitions named, or of all."""
         parts = self.manifest["parts"]
-        return [f"{self.path}/v{v}/part_day={p}" for p, v in parts.items() if names is None or p in names]
+        return [f"{self.path}/v{v}/{self.part}={p}" for p, v in parts.items() if names is None or p in names]
 
     def read(self, names: list[str] | None = None) -> DataFrame | None:
         """The kept messages; None if there are none yet."""
@@ -61,10 +67,10 @@ class MessageStore:
 
     def index(self) -> DataFrame | None:
         """(keys, part_day) of every winner: the index folders of all current partitions."""
-        folders = [f"{self.path}/index-v{v}/part_day={p}" for p, v in self.manifest["parts"].items()]
+        folders = [f"{self.path}/index-v{v}/{self.part}={p}" for p, v in self.manifest["parts"].items()]
         if not folders:
             return None
-        return self.spark.read.option("basePath", self.path).parquet(*folders).select(*self.keys, F.col("part_day").cast("string").alias("part_day"))
+        return self.spark.read.option("basePath", self.path).parquet(*folders).select(*self.keys, F.col(self.part).cast("string").alias(self.part))
 
     # -- writing
 
@@ -84,6 +90,7 @@ class MessageStore:
         done = self.manifest["batches"].get(str(batch))
         if done is not None:
             return self.spark.read.parquet(f"{self.path}/surplus-v{done}")
+        self.manifest.setdefault("part", free_name(incoming.columns, "part_day"))
         keyed = F.lit(True)
         for k in self.keys:
             keyed = keyed & F.col(k).isNotNull()
@@ -91,36 +98,37 @@ class MessageStore:
         history = None
         if (index := self.index()) is not None:
             ids = incoming.where(keyed).select(*self.keys).distinct()
-            days = incoming.select(self.day().alias("part_day")).distinct()
-            hits = index.join(ids, self.keys, "left_semi").select("part_day").distinct()
+            days = incoming.select(self.day().alias(self.part)).distinct()
+            hits = index.join(ids, self.keys, "left_semi").select(self.part).distinct()
             # days are few whatever the size: one value per calendar day
             touched = sorted({r[0] for r in hits.unionByName(days).distinct().collect()} & set(self.manifest["parts"]))
             history = self.read(touched) if touched else None
         rows = incoming if history is None else incoming.unionByName(history.select(*incoming.columns))
         first = F.struct(F.col(self.received).isNull().alias("a"), F.col(self.received).alias("b"), F.col(self.delivery).alias("d"))
         winners = written(rows.where(keyed).groupBy(*self.keys).agg(F.min(first).alias("w")).select(F.col("w.d").alias(self.delivery)), "winners")
-        kept = rows.where(keyed).join(winners, self.delivery, "left_semi").unionByName(rows.where(~keyed)).withColumn("part_day", self.day())
+        kept = rows.where(keyed).join(winners, self.delivery, "left_semi").unionByName(rows.where(~keyed)).withColumn(self.part, self.day())
         v = self.manifest["version"] + 1
         rows.where(keyed).select(self.delivery).join(winners, self.delivery, "left_anti").write.mode("overwrite").parquet(f"{self.path}/surplus-v{v}")
         # files of even size by day: adaptive execution splits a day that holds a large share of the rows
-        kept.hint("rebalance", "part_day").write.partitionBy("part_day").mode("overwrite").parquet(f"{self.path}/v{v}")
-        fresh = self.spark.read.option("basePath", f"{self.path}/v{v}").parquet(f"{self.path}/v{v}")
-        fresh.select(*self.keys, F.col("part_day").cast("string").alias("part_day")).write.partitionBy("part_day").mode("overwrite").parquet(f"{self.path}/index-v{v}")
+        kept.hint("rebalance", self.part).write.partitionBy(self.part).mode("overwrite").parquet(f"{self.path}/v{v}")
         new = _folders(self.spark, f"{self.path}/v{v}")
+        if new:
+            fresh = self.spark.read.option("basePath", f"{self.path}/v{v}").parquet(f"{self.path}/v{v}")
+            fresh.select(*self.keys, F.col(self.part).cast("string").alias(self.part)).write.partitionBy(self.part).mode("overwrite").parquet(f"{self.path}/index-v{v}")
         parts = {p: old for p, old in self.manifest["parts"].items() if p not in touched} | {p: v for p in new}
         batches = self.manifest["batches"] | ({} if batch is None else {str(batch): v})
-        self.manifest = {"version": v, "parts": parts, "batches": dict(list(batches.items())[-KEPT_BATCHES:])}
+        self.manifest = {"version": v, "part": self.part, "parts": parts, "batches": dict(list(batches.items())[-KEPT_BATCHES:])}
         _swap_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.manifest))
         return self.spark.read.parquet(f"{self.path}/surplus-v{v}")
 
     def vacuum(self) -> None:
         """Remove replaced partitions. Readers that began before lose their files; call it when there are none."""
-        current = {f"v{v}/part_day={p}" for p, v in self.manifest["parts"].items()}
+        current = {f"v{v}/{self.part}={p}" for p, v in self.manifest["parts"].items()}
         for v in range(1, self.manifest["version"] + 1):
             for p in _folders(self.spark, f"{self.path}/v{v}"):
-                if f"v{v}/part_day={p}" not in current:
-                    remove(self.spark, f"{self.path}/v{v}/part_day={p}")
-                    remove(self.spark, f"{self.path}/index-v{v}/part_day={p}")
+                if f"v{v}/{self.part}={p}" not in current:
+                    remove(self.spark, f"{self.path}/v{v}/{self.part}={p}")
+                    remove(self.spark, f"{self.path}/index-v{v}/{self.part}={p}")
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
@@ -152,7 +160,7 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return []
-    return [n.split("=", 1)[1] for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("part_day=")]
+    return [n.split("=", 1)[1] for s in fs.listStatus(p) if "=" in (n := s.getPath().getName())]
 
 
 def first_deliveries(store: MessageStore, batches: list[DataFrame]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import free_name
+
 
 def top_n(df: DataFrame, groups: list[str], metric: str, n: int, ties: list[Column | str], with_ties: bool = False) -> DataFrame:
     """The ``n`` rows with the highest metric of each group.
@@ -16,7 +18,8 @@ def top_n(df: DataFrame, groups: list[str], metric: str, n: int, ties: list[Colu
     """
     w = Window.partitionBy(*groups).orderBy(F.desc(metric)) if with_ties else Window.partitionBy(*groups).orderBy(F.desc(metric), *ties)
     rank = (F.rank() if with_ties else F.row_number()).over(w)
-    return df.where(F.col(metric).isNotNull()).withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    name = free_name(df.columns, "__rank")
+    return df.where(F.col(metric).isNotNull()).withColumn(name, rank).where(F.col(name) <= n).drop(name)
 
 
 def top_n_metrics(df: DataFrame, groups: list[str], metrics: dict[str, str], n: int, ties: list[Column | str], tag: str = "metric") -> DataFrame:
@@ -25,8 +28,9 @@ def top_n_metrics(df: DataFrame, groups: list[str], metrics: dict[str, str], n:
     ``metrics`` maps column names to tags.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(c).cast("double").alias("v")) for c, t in metrics.items()]))
-    long = df.withColumn("__m", pairs).withColumn(tag, F.col("__m.t")).withColumn("__v", F.col("__m.v")).drop("__m")
-    return top_n(long, [*groups, tag], "__v", n, ties).drop("__v")
+    m, v = free_name(df.columns, "__m"), free_name(df.columns, "__v")
+    long = df.withColumn(m, pairs).withColumn(tag, F.col(f"{m}.t")).withColumn(v, F.col(f"{m}.v")).drop(m)
+    return top_n(long, [*groups, tag], v, n, ties).drop(v)
 
 
 def sorted_by(df: DataFrame, *columns: str) -> DataFrame:
