@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..operators import aggs, dedup, filters, joins, setops, topn
+from ..operators import aggs, completeness, dedup, filters, joins, setops, topn
 from ..operators.clean import clean, require
 from ..schemas import COLUMNS, spec
 from ..sources.readers import parquet, pipe_records, union_all
@@ -99,6 +99,10 @@ def _scalars(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _streams(s: SparkSession, d: str) -> DataFrame:
+    return completeness.stream_completeness(parquet(s, d, "receiver_messages"))
+
+
 QUERIES: dict[str, Query] = {
     # the five result sets
     "q1_high_amounts": lambda s, d: _double(sales.high_amounts(sales.from_parquet(s, d)), "final_amount"),
@@ -130,6 +134,9 @@ QUERIES: dict[str, Query] = {
     "set_differences": _differences,
     "scalar_functions": _scalars,
     "pipe_records": _messages,
+    "stream_completeness": lambda s, d: _ntz(_streams(s, d), "completed_at"),
+    "request_completeness": lambda s, d: completeness.request_completeness(_streams(s, d)),
+    "late_messages": lambda s, d: completeness.late_messages(parquet(s, d, "receiver_messages"), _streams(s, d)),
     "stream_monthly_items": incremental.stream_monthly_items,
     "stream_first_deliveries": incremental.stream_first_deliveries,
     # data quality
@@ -170,7 +177,19 @@ def _buyers(rank: str, order: str) -> str:
         LEFT JOIN {_ST} s ON t.store_id = s.store_id LEFT JOIN {_BI} b ON t.user_id = b.user_id WHERE i <= 3"""
 
 
+_STREAMS = """WITH firsts AS (SELECT request_id, data_type, msg_type, position, min(received_at) AS came FROM receiver_messages WHERE position IS NOT NULL AND msg_type IN (1, 2) GROUP BY ALL),
+ends AS (SELECT request_id, data_type, min(position) AS end_position, arg_min(came, position) AS end_came FROM firsts WHERE msg_type = 2 GROUP BY ALL),
+counted AS (SELECT request_id, data_type, end_position, count(f.position) AS n_positions, max(f.came) AS data_came, max(end_came) AS end_came
+    FROM (SELECT DISTINCT request_id, data_type FROM firsts) LEFT JOIN ends USING (request_id, data_type)
+    LEFT JOIN (SELECT * FROM firsts WHERE msg_type = 1 AND position >= 1) f USING (request_id, data_type) WHERE end_position IS NULL OR f.position IS NULL OR f.position < end_position GROUP BY 1, 2, 3),
+streams AS (SELECT request_id, data_type, end_position, n_positions, end_position - 1 - n_positions AS n_missing, coalesce(end_position - 1 = n_positions, false) AS complete,
+    CASE WHEN end_position - 1 = n_positions THEN greatest(data_came, end_came) END AS completed_at FROM counted)
+"""
+
 SQL: dict[str, str] = {
+    "stream_completeness": _STREAMS + "SELECT * FROM streams",
+    "request_completeness": _STREAMS + "SELECT request_id, CAST(sum(complete::INT) AS BIGINT) AS n_complete, sum(complete::INT) >= 5 AS complete FROM streams GROUP BY 1",
+    "late_messages": _STREAMS + "SELECT delivery_id, request_id, data_type FROM receiver_messages JOIN streams USING (request_id, data_type) WHERE complete AND received_at > completed_at",
     "q1_high_amounts": f"SELECT transaction_id, CAST(min(final_amount) AS DOUBLE) AS final_amount FROM ({_TX}) WHERE {_DAY} AND final_amount >= 75 GROUP BY 1 ORDER BY 1",
     "q2a_top_items_by_quantity": f"SELECT year_month_created_at, coalesce(item_name, t.item_id) AS item_name, sellings_qty FROM ({_top('sellings_qty')}) t LEFT JOIN {_ME} m ON t.item_id = m.item_id WHERE i = 1 ORDER BY 1",
     "q2b_top_items_by_revenue": f"SELECT year_month_created_at, coalesce(item_name, t.item_id) AS item_name, profit_sum FROM ({_top('profit_sum')}) t LEFT JOIN {_ME} m ON t.item_id = m.item_id WHERE i = 1 ORDER BY 1",

@@ -62,6 +62,11 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a frame reads."""
+    return sum(stored_bytes(df.sparkSession, f) for f in df.inputFiles())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
