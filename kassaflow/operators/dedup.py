@@ -38,3 +38,12 @@ def dense_positions(df: DataFrame, order: list[str], name: str = "position") ->
         return numbered.drop(p, i).withColumn(name, F.lit(None).cast("long"))
     offset = F.element_at(F.create_map(*[F.lit(int(x)).cast("long") for kv in before.items() for x in kv]), F.col(p).cast("long"))
     return numbered.withColumn(name, (offset + F.col(i)).cast("long")).drop(*{p, i} - {name})
+
+
+def split_requests(df: DataFrame, order: list[str], requests: int = 2, name: str = "request_id") -> DataFrame:
+    """Rows in the order of ``order`` as ``requests`` runs of equal length, numbered from 1; the first runs take what is over."""
+    p = free_name(df.columns, "__position")
+    numbered = dense_positions(df, order, p)
+    n = numbered.count()
+    size = max(1, -(-n // requests))
+    return numbered.withColumn(name, (F.floor((F.col(p) - 1) / F.lit(size)) + 1).cast("long")).drop(p)

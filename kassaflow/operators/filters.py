@@ -32,7 +32,12 @@ def min_amount(amount: Column | str, least: float) -> Column:
     return c.try_cast("double") >= F.lit(float(least))
 
 
-FILTERS: dict[str, Callable[..., Column]] = {"temporal": temporal, "amount": min_amount}
+def everything() -> Column:
+    """The predicate that passes every row."""
+    return F.lit(True)
+
+
+FILTERS: dict[str, Callable[..., Column]] = {"all": everything, "temporal": temporal, "amount": min_amount}
 
 
 def make_filter(kind: str, *args, **kwargs) -> Column:

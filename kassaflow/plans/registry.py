@@ -14,6 +14,8 @@ from ..functions import keys as K
 from ..operators import aggs, completeness, dedup, filters, joins, setops, topn
 from ..operators.clean import clean, require
 from ..schemas import COLUMNS, spec
+from ..session import scratch_path
+from ..sources import sinks
 from ..sources.readers import parquet, pipe_records, union_all
 from ..streaming import incremental
 from . import quality, sales
@@ -99,6 +101,22 @@ def _scalars(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _from_csv(s: SparkSession, d: str) -> DataFrame:
+    """The half-year volumes over delimited files that were written from the tables."""
+    root = scratch_path(s, "csv")
+    for table in ("transactions", "stores"):
+        sinks.write_table_files(parquet(s, d, table).select(*COLUMNS[table]), root, table)
+    return _double(sales.half_year_volumes(sales.from_csv(s, root)), "tpv")
+
+
+def _json_dump(s: SparkSession, d: str) -> DataFrame:
+    """Users in two requests, dumped as JSON and read again."""
+    path = scratch_path(s, "json")
+    users = parquet(s, d, "users").select("user_id", "birthdate").where(F.col("user_id").isNotNull()).distinct()
+    sinks.write_json(dedup.split_requests(users, ["user_id", "birthdate"]), path)
+    return s.read.schema("user_id string, birthdate string, request_id long").json(path)
+
+
 def _streams(s: SparkSession, d: str) -> DataFrame:
     return completeness.stream_completeness(parquet(s, d, "receiver_messages"))
 
@@ -112,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "q4_top_buyers": lambda s, d: sales.top_buyers(sales.from_parquet(s, d)),
     "q4_top_buyers_counts": lambda s, d: sales.top_buyers(sales.from_parquet(s, d), counts=True),
     "q4_top_buyers_with_ties": lambda s, d: sales.top_buyers(sales.from_parquet(s, d), with_ties=True, counts=True),
+    "q3_from_csv": _from_csv,
     # single operators
     "clean_transactions": lambda s, d: _ntz(_double(_tx(s, d), "final_amount"), "created_at"),
     "clean_items": lambda s, d: _ntz(_double(_items(s, d), "subtotal"), "created_at"),
@@ -129,6 +148,7 @@ QUERIES: dict[str, Query] = {
     "top_items_both": lambda s, d: _double(sales.top_items_both(sales.from_parquet(s, d)), "profit_sum"),
     "distinct_on_first": _distinct_lines,
     "dense_positions": _positions,
+    "split_requests_json": _json_dump,
     "lookup_fallback": _seasonal_lookup,
     "union_all_parts": lambda s, d: union_all([parquet(s, d, "orders").where(F.col("o_orderkey") % 2 == i).select("o_orderkey", "o_totalprice") for i in (0, 1)]),
     "set_differences": _differences,
@@ -214,6 +234,8 @@ SQL: dict[str, str] = {
         SELECT *, 'quantity' AS metric FROM ({_top("sellings_qty")}) UNION ALL SELECT *, 'subtotal' FROM ({_top("profit_sum")})) t LEFT JOIN {_ME} m ON t.item_id = m.item_id WHERE i = 1""",
     "distinct_on_first": "SELECT l_orderkey, l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice, l_partkey, l_suppkey, l_shipdate) AS i FROM lineitem) WHERE i = 1",
     "dense_positions": "SELECT transaction_id, row_number() OVER (ORDER BY transaction_id) AS position FROM (SELECT DISTINCT transaction_id FROM transactions WHERE transaction_id IS NOT NULL)",
+    "split_requests_json": """WITH u AS (SELECT DISTINCT user_id, birthdate FROM users WHERE user_id IS NOT NULL)
+        SELECT user_id, birthdate, CAST((row_number() OVER (ORDER BY user_id, birthdate NULLS FIRST) - 1) // CAST(ceil((SELECT count(*) FROM u) / 2.0) AS BIGINT) AS BIGINT) + 1 AS request_id FROM u""",
     "lookup_fallback": f"SELECT coalesce(item_name, t.item_id) AS item_name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT item_id, count(*) AS n FROM ({_IT}) GROUP BY 1) t LEFT JOIN (SELECT item_id, max(item_name) AS item_name FROM menu_items WHERE length(item_id) % 2 = 0 AND item_id <> '' AND item_name <> '' GROUP BY 1) m ON t.item_id = m.item_id GROUP BY 1",
     "union_all_parts": "SELECT o_orderkey, o_totalprice FROM orders",
     "set_differences": f"""WITH a AS (SELECT {_ID} AS user_id FROM transactions WHERE regexp_matches(trim(user_id), {_NUM})), b AS (SELECT {_ID} AS user_id FROM users WHERE regexp_matches(trim(user_id), {_NUM}))
@@ -226,10 +248,9 @@ SQL: dict[str, str] = {
     "stream_monthly_items": f"SELECT {_MONTH} AS year_month_created_at, item_id, CAST(sum(quantity) AS BIGINT) AS sellings_qty, CAST(sum(subtotal) AS DOUBLE) AS profit_sum FROM ({_IT}) GROUP BY 1, 2",
     "stream_first_deliveries": QUALITY_SQL["p3_found"],
 } | QUALITY_SQL
+SQL["q3_from_csv"] = SQL["q3_half_year_volumes"]
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
     return QUERIES["q3_half_year_volumes"](spark, root)
 
-
-assert set(SQL) <= set(QUERIES) and COLUMNS

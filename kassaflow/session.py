@@ -46,8 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/kassaflow/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, removed at the end of the process."""
+    path = f"{shared_dir(spark)}/kassaflow/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -84,7 +86,6 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     schema = df.schema
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(schema).parquet(path)
 
 

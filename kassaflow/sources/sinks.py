@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import _fs, scratch_path
+
 
 def as_text(df: DataFrame, decimals: dict[str, int] | None = None) -> DataFrame:
     """Columns as result text: fractions with a fixed number of places, never in exponent form; null stays null."""
@@ -41,3 +43,25 @@ def deliver(results: dict[str, DataFrame], root: str, write: Callable[[DataFrame
     for name, df in results.items():
         put(df, paths.setdefault(name, f"{root}/{name}_results"))
     return paths
+
+
+def write_table_files(df: DataFrame, root: str, table: str) -> None:
+    """Headered CSV files ``root/table_00000.csv`` and on, as ``readers.csv_text`` finds them.
+
+    Parts are written aside and renamed one by one when all are complete.
+    Times are written as ``YYYY-MM-DD HH:MM:SS``; null is an empty value.
+    """
+    spark = df.sparkSession
+    text = [F.date_format(f.name, "yyyy-MM-dd HH:mm:ss").alias(f.name) if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(f"`{f.name}`").cast("string").alias(f.name) for f in df.schema]
+    aside = scratch_path(spark, table)
+    df.select(*text).write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(aside)
+    fs, p = _fs(spark, aside)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(path(root))
+    for i, s in enumerate(sorted((s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")), key=lambda x: x.getName())):
+        fs.rename(s, path(f"{root}/{table}_{i:05d}.csv"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object per row and line, as test receivers dump them; nulls are kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
