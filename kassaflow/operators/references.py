@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import month_key
 from ..session import written
+from .names import free_name
 from .skew import rows_with_keys
 
 _ALWAYS = "0001-01-01 00:00:00"
@@ -35,7 +36,7 @@ def lifetimes(parents: DataFrame, deletions: DataFrame) -> DataFrame:
 
 
 def orphans(rows: DataFrame, alive: DataFrame) -> DataFrame:
-    """Rows (record_id, key, t) whose key has no living record at t.
+    """Rows (key, t and any others) whose key has no living record at t.
 
     1. The distinct non-null keys with their first and last time (combined on
        the map side) are anti-joined with the lifetimes that cover both: what
@@ -44,18 +45,22 @@ def orphans(rows: DataFrame, alive: DataFrame) -> DataFrame:
        the lifetimes at their own time.
 
     Rows with null keys aren't references. A row with a null time can't be
-    placed: it counts as an orphan only if its key never existed.
+    placed: it counts as an orphan only if its key never existed. Columns of
+    ``rows`` other than key and t are kept, whatever their names.
     """
-    refs = rows.where(F.col("key").isNotNull()).select("record_id", "key", "t")
-    keys = refs.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("t").isNull(), 1).otherwise(0)).alias("undated"))
-    covers = (F.col("key") == F.col("k")) & (F.col("alive_from") <= F.col("t0")) & (F.col("alive_until").isNull() | (F.col("t1") < F.col("alive_until")))
-    alive = written(alive, "lifetimes")
-    suspects = written(keys.join(alive.withColumnRenamed("key", "k"), covers, "left_anti").select("key", "n"), "suspect-keys")
+    refs = rows.where(F.col("key").isNotNull())
+    keys = refs.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n"))
+    k, since, until = (free_name(rows.columns, c) for c in ("k", "alive_from", "alive_until"))
+    alive = written(alive.select(F.col("key").alias(k), F.col("alive_from").alias(since), F.col("alive_until").alias(until)), "lifetimes")
+
+    def living(first: str, last: str):
+        return (F.col("key") == F.col(k)) & (F.col(since) <= F.col(first)) & (F.col(until).isNull() | (F.col(last) < F.col(until)))
+
+    suspects = written(keys.join(alive, living("t0", "t1"), "left_anti").select("key", "n"), "suspect-keys")
     total = suspects.agg(F.sum("n")).first()[0]
-    lives = written(alive.join(suspects, "key", "left_semi"), "suspect-lifetimes").withColumnRenamed("key", "k")
+    lives = alive.join(suspects.withColumnRenamed("key", k), k, "left_semi")
     near = rows_with_keys(refs, suspects, "key", "n", total or 0)
-    living = (F.col("key") == F.col("k")) & (F.col("t").isNull() | ((F.col("alive_from") <= F.col("t")) & (F.col("alive_until").isNull() | (F.col("t") < F.col("alive_until")))))
-    return near.join(lives, living, "left_anti")
+    return near.join(lives, (F.col("key") == F.col(k)) & (F.col("t").isNull() | living("t", "t")), "left_anti")
 
 
 def report(orphan_rows: DataFrame) -> DataFrame:

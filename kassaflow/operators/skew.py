@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import table_bytes
+
 #: A key is hot from a share of 1/HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
@@ -12,11 +14,15 @@ HOT_SHARE = 1000
 def rows_with_keys(rows: DataFrame, keys: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Rows whose key is in ``keys`` (distinct, with the number of rows of each).
 
-    Hot keys, at most ``HOT_SHARE`` by arithmetic, are broadcast; the rows of
-    the others meet their keys in a shuffle that no single key can dominate.
-    If the table of keys is small, Spark broadcasts it whole. Rows with a null
-    key don't come out.
+    ``keys`` is a written table. If its files are below Spark's broadcast
+    threshold, it is broadcast whole. Else the hot keys, at most ``HOT_SHARE``
+    by arithmetic, are broadcast, and the rows of the others meet their keys in
+    a shuffle that no single key can dominate. Rows with a null key don't come
+    out.
     """
+    spark = rows.sparkSession
+    if table_bytes(keys) <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        return rows.join(keys.select(key), key, "left_semi")
     bound = max(1.0, total / HOT_SHARE)
     hot = keys.where(F.col(count) >= bound).select(key)
     cold = keys.where(F.col(count) < bound).select(key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import folded_name, month_key, whole_number_text
@@ -12,7 +12,7 @@ from ..operators import references as refs
 from ..operators.bands import top_n_by_bands
 from ..operators.redelivery import MessageStore, first_deliveries
 from ..session import scratch_path
-from ..sources.readers import parquet
+from ..sources.readers import parquet, union_all
 
 #: The columns whose loads are compared.
 WATCHED = {
@@ -43,39 +43,46 @@ def p1_profile(spark: SparkSession, root: str) -> DataFrame:
     return p.select("table_name", "column_name", "load_id", "n_rows", "n_null", "n_distinct", "n_violations", "min_text", "max_text", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
-def parents(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """(key, start) of a referenced table."""
-    df = parquet(spark, root, table)
-    if table == "users":
-        return df.select(whole_number_text("user_id").alias("key"), F.col("registered_at").alias("start"))
-    if table == "menu_items":
-        return df.select(whole_number_text("item_id").alias("key"), F.try_to_timestamp(F.nullif(F.trim("available_from"), F.lit("")), F.lit("yyyy-MM-dd")).alias("start"))
-    return df.select(folded_name("store_name").alias("key"), F.lit(None).cast("timestamp").alias("start"))
+#: The table that each reference names.
+NAMES = {"transactions": "users", "transaction_items": "menu_items", "q4_candidates": "stores"}
 
 
-def living(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The lifetimes of a referenced table's keys."""
-    key = folded_name("ref_key") if table == "stores" else whole_number_text("ref_key")
-    gone = parquet(spark, root, "key_deletions").where(F.col("ref_table") == table).select(key.alias("key"), "deleted_at")
-    return refs.lifetimes(parents(spark, root, table), gone)
+def _tagged(table: str, key: Column) -> Column:
+    """Keys of all referenced tables in one space; null stays null."""
+    return F.concat(F.lit(f"{table}:"), key)
 
 
-def references(spark: SparkSession, root: str) -> dict[str, tuple[DataFrame, str]]:
-    """By table: (record_id, key, t) of its references, and the table that they name."""
-    tx, items, cands = (parquet(spark, root, t) for t in ("transactions", "transaction_items", "q4_candidates"))
-    return {
-        "transactions": (tx.select(F.col("row_id").alias("record_id"), whole_number_text("user_id").alias("key"), F.col("created_at").alias("t")), "users"),
-        "transaction_items": (items.select(F.col("row_id").alias("record_id"), whole_number_text("item_id").alias("key"), F.col("created_at").alias("t")), "menu_items"),
-        "q4_candidates": (cands.select(F.col("candidate_id").alias("record_id"), folded_name("store_name").alias("key"), F.col("computed_at").alias("t")), "stores"),
+def parents(spark: SparkSession, root: str) -> DataFrame:
+    """(key, start) of the three referenced tables."""
+    users, items, stores = (parquet(spark, root, t) for t in ("users", "menu_items", "stores"))
+    start = F.try_to_timestamp(F.nullif(F.trim("available_from"), F.lit("")), F.lit("yyyy-MM-dd"))
+    return union_all(
+        [
+            users.select(_tagged("users", whole_number_text("user_id")).alias("key"), F.col("registered_at").alias("start")),
+            items.select(_tagged("menu_items", whole_number_text("item_id")).alias("key"), start.alias("start")),
+            stores.select(_tagged("stores", folded_name("store_name")).alias("key"), F.lit(None).cast("timestamp").alias("start")),
+        ]
+    )
+
+
+def deletions(spark: SparkSession, root: str) -> DataFrame:
+    d = parquet(spark, root, "key_deletions")
+    key = F.when(F.col("ref_table") == "stores", folded_name("ref_key")).otherwise(whole_number_text("ref_key"))
+    return d.select(F.concat(F.col("ref_table"), F.lit(":"), key).alias("key"), "deleted_at")
+
+
+def references(spark: SparkSession, root: str) -> DataFrame:
+    """(table_name, record_id, key, t) of all references."""
+    columns = {
+        "transactions": ("row_id", whole_number_text("user_id"), "created_at"),
+        "transaction_items": ("row_id", whole_number_text("item_id"), "created_at"),
+        "q4_candidates": ("candidate_id", folded_name("store_name"), "computed_at"),
     }
+    return union_all([parquet(spark, root, t).select(F.lit(t).alias("table_name"), F.col(i).alias("record_id"), _tagged(NAMES[t], key).alias("key"), F.col(at).alias("t")) for t, (i, key, at) in columns.items()])
 
 
 def orphan_rows(spark: SparkSession, root: str) -> DataFrame:
-    out = None
-    for table, (rows, named) in references(spark, root).items():
-        o = refs.orphans(rows, living(spark, root, named)).withColumn("table_name", F.lit(table))
-        out = o if out is None else out.unionByName(o)
-    return out
+    return refs.orphans(references(spark, root), refs.lifetimes(parents(spark, root), deletions(spark, root)))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
