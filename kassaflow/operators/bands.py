@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored_bytes, written
+from ..session import table_bytes, written
 from .names import free_name
 
 #: A table of filled groups up to this size on disk is broadcast; beyond it the anti-join is shuffled.
@@ -45,8 +45,9 @@ def top_n_by_bands(df: DataFrame, groups: list[str], score: str, ties: list[Colu
     for b in range(len(edges) + 1):
         now = banded.where(F.col(band_name) == b).select(*columns)
         if have is not None:
-            filled = written(have.where(F.col(got) >= n).select(*groups), "filled")
-            now = _without(now, filled, groups, n, score, ties)
+            # the table of counts bounds that of the filled groups
+            filled = have.where(F.col(got) >= n).select(*groups)
+            now = _without(now, filled, table_bytes(have), groups, n, score, ties)
         ranked = now.withColumn(rank, F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(score), *ties))).where(F.col(rank) <= n)
         if have is not None:
             lacking = ranked.join(have.where(F.col(got) < n), groups, "left")
@@ -63,19 +64,15 @@ def top_n_by_bands(df: DataFrame, groups: list[str], score: str, ties: list[Colu
     return out
 
 
-def _without(rows: DataFrame, filled: DataFrame, groups: list[str], n: int, score: str, ties: list[Column]) -> DataFrame:
-    """Anti-join of the filled groups, broadcast if their table is proven small.
+def _without(rows: DataFrame, filled: DataFrame, most: int, groups: list[str], n: int, score: str, ties: list[Column]) -> DataFrame:
+    """Anti-join of the filled groups, broadcast if their table takes at most ``most`` bytes and that is small.
 
     Else the rows are cut to the best ``n`` per group first, so that the
     shuffled anti-join meets no large group.
     """
-    if _size(filled) <= BROADCAST_BYTES:
+    if most <= BROADCAST_BYTES:
         return rows.join(F.broadcast(filled), groups, "left_anti")
     cut_rank = free_name(rows.columns, "__c")
     cut = rows.withColumn(cut_rank, F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(score), *ties))).where(F.col(cut_rank) <= n).drop(cut_rank)
     return cut.join(filled, groups, "left_anti")
 
-
-def _size(df: DataFrame) -> int:
-    files = df.inputFiles()
-    return sum(stored_bytes(df.sparkSession, f) for f in files)
