@@ -38,9 +38,15 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_profile(spark: SparkSession, root: str) -> DataFrame:
-    """Every column of the three tables per load: counts, exact distincts, ranges, violations, moments."""
-    p = prof.moments(profiles(spark, root, {t: None for t in WATCHED}))
-    return p.select("table_name", "column_name", "load_id", "n_rows", "n_null", "n_distinct", "n_violations", "min_text", "max_text", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+    """Every column of the three tables per load: rows, nulls, exact distincts, violations and ranges."""
+    p = profiles(spark, root, {t: None for t in WATCHED})
+    return p.select("table_name", "column_name", "load_id", "n_rows", "n_null", "n_distinct", "n_violations", "min_value", "max_value")
+
+
+def p1_moments(spark: SparkSession, root: str) -> DataFrame:
+    """Mean, standard deviation and shape of every watched column per load, from the power sums."""
+    p = prof.moments(profiles(spark, root, WATCHED))
+    return p.select("table_name", "column_name", "load_id", "s0", "mean", "sd", "skew", "kurt")
 
 
 #: The table that each reference names.

@@ -28,8 +28,23 @@ orphan AS (
   SELECT r.* FROM r WHERE k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lives l WHERE l.ref = r.ref AND l.k = r.k AND l.s <= r.t AND (l.e IS NULL OR r.t < l.e)))
 """
 
+# The columns of the profiled tables: text, numbers and times.
+_PROFILED = {
+    "transactions": ("transaction_id store_id payment_method_id voucher_id user_id", "row_id original_amount discount_applied final_amount", "created_at loaded_at"),
+    "transaction_items": ("transaction_id item_id", "row_id quantity unit_price subtotal", "created_at"),
+    "q2b_profits": ("year_month_created_at item_name", "profit_sum", ""),
+}
+
+
+def _profile(table: str, c: str, kind: int) -> str:
+    number = (f"CASE WHEN regexp_matches(trim({c}), {_NUM}) THEN CAST(trim({c}) AS DOUBLE) END", f"CAST({c} AS DOUBLE)", f"floor(epoch({c}))")[kind]
+    value = f"nullif({c}, '')" if kind == 0 else c
+    bad = f"count(*) FILTER ({c} <> '' AND NOT regexp_full_match({c}, '0|[1-9][0-9]*'))" if c == "user_id" else "0"
+    return f"SELECT '{table}' AS table_name, '{c}' AS column_name, load_id, count(*) AS n_rows, count(*) - count({value}) AS n_null, count(DISTINCT {value}) AS n_distinct, CAST({bad} AS BIGINT) AS n_violations, min({number}) AS min_value, max({number}) AS max_value FROM {table} GROUP BY load_id"
+
+
 SQL = {
-    "p1_profile": None,
+    "p1_profile": " UNION ALL ".join(_profile(t, c, k) for t, kinds in _PROFILED.items() for k, cs in enumerate(kinds) for c in cs.split()),
     "p2_found": _ORPHANS + "SELECT DISTINCT table_name, record_id, strftime(t, '%Y-%m') AS period FROM orphan",
     "p2_report": _ORPHANS + "SELECT table_name, strftime(t, '%Y-%m') AS period, count(*) AS orphan_rows, count(DISTINCT k) AS orphan_keys FROM orphan GROUP BY 1, 2",
     "p3_found": """SELECT delivery_id FROM (
@@ -43,4 +58,3 @@ SQL = {
             SELECT DISTINCT request_id, candidate_id, {_name("store_name")} AS store, purchases_qty, nullif(birthdate, '') AS birthdate FROM q4_candidates)
         WHERE request_id IS NOT NULL AND store IS NOT NULL AND purchases_qty IS NOT NULL) WHERE i <= 3""",
 }
-SQL = {k: v for k, v in SQL.items() if v}

@@ -162,6 +162,7 @@ QUERIES: dict[str, Query] = {
     # data quality
     "p1_found": quality.p1_found,
     "p1_profile": quality.p1_profile,
+    "p1_moments": quality.p1_moments,
     "p2_found": quality.p2_found,
     "p2_report": quality.p2_report,
     "p3_found": quality.p3_found,

@@ -12,10 +12,16 @@ from ..schemas import COLUMNS, LOAD_ORDER, text_schema, typed
 
 
 def parquet(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A Parquet table; zone-less times become timestamps of the session zone (UTC)."""
-    df = spark.read.parquet(f"{root}/{table}.parquet")
-    ntz = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)}
-    return df.withColumns(ntz) if ntz else df
+    """A Parquet table; zone-less times are read as timestamps of UTC.
+
+    They are read as such, not cast afterwards, so ranges of times reach the scan.
+    """
+    path = f"{root}/{table}.parquet"
+    df = spark.read.parquet(path)
+    if not any(isinstance(f.dataType, T.TimestampNTZType) for f in df.schema):
+        return df
+    fields = [T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable) for f in df.schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def csv_text(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -61,10 +61,13 @@ def test_route_is_not_first_match(spark, rows):
 
 
 def test_time_filter_reaches_the_scan(spark, tmp_path):
-    spark.range(10).selectExpr("id", "timestamp_seconds(1700000000 + id * 10000000) as created_at").write.parquet(str(tmp_path / "t.parquet"))
-    df = readers.parquet(spark, str(tmp_path), "t").where(filters.temporal("created_at", 2024, 2025)).select("id")
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(created_at" in plan
+    zoned = spark.range(10).selectExpr("id", "timestamp_seconds(1700000000 + id * 10000000) as created_at", "id as other")
+    for i, df in enumerate((zoned, zoned.selectExpr("id", "cast(created_at as timestamp_ntz) as created_at", "other"))):
+        df.write.parquet(str(tmp_path / f"t{i}.parquet"))
+        got = readers.parquet(spark, str(tmp_path), f"t{i}").where(filters.temporal("created_at", 2024, 2025)).select("id", "created_at")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(created_at" in plan and "other" not in plan.split("ReadSchema")[1]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, zoned.where("year(created_at) in (2024, 2025)").select("id", "created_at").collect()))
 
 
 def test_csv_scan(spark, rows, tmp_path):

@@ -239,3 +239,29 @@ def test_records_load_and_fault(spark, rows):
     assert rows(records.faulty(p).select("raw_id", "reason")) == [(2, "quoting"), (3, "column_count"), (6, "invalid_value")]
     assert [tuple(r) for r in records.loaded(p, "users").collect()] == [(1, "1", "f", "1990-01-01", "2024-01-01 00:00:00")]
     assert records.parse_records(df.limit(0)).count() == 0
+
+
+# -- joins with hot keys
+
+
+def test_rows_with_keys_hot_and_cold(spark):
+    from kassaflow.operators.skew import rows_with_keys
+    from kassaflow.session import written
+
+    rows = spark.range(3000).selectExpr("case when id < 1000 then 'hot' when id % 7 = 0 then null else concat('k', id % 100) end as key", "id as n")
+    keys = written(spark.createDataFrame([("hot", 1000), ("k3", 20), ("none", 5)], "key string, n long"), "keys")
+    want = rows.where("key in ('hot', 'k3')").count()
+    assert rows_with_keys(rows, keys, "key", "n", 1025).count() == want
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows_with_keys(rows, keys, "key", "n", 1025_000).count() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_entry_and_registry(spark):
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries())
+    assert all(f"p{i}_found" in e.queries() for i in range(1, 6))
