@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,14 @@ def temporal(ts: Column | str, year_start: int = 0, year_end: int = 9999, hour_s
     return in_years(c, year_start, year_end) & hours
 
 
-def min_amount(amount: Column | str, least: float) -> Column:
-    """``amount >= least``; null and text that is no number don't pass, NaN does."""
+def min_amount(amount: Column | str, least: float | Decimal) -> Column:
+    """``amount >= least``; null and text that is no number don't pass, NaN does.
+
+    A ``Decimal`` bound is for decimal columns and reaches the scan.
+    """
     c = F.col(amount) if isinstance(amount, str) else amount
+    if isinstance(least, Decimal):
+        return c >= F.lit(least)
     return c.try_cast("double") >= F.lit(float(least))
 
 

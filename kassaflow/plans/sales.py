@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..sources.readers import csv_typed, parquet
 
 YEARS = (2024, 2025)
 HOURS = (6, 23)
-LEAST_AMOUNT = 75.0
+LEAST_AMOUNT = Decimal("75.00")
 
 Tables = Callable[[str], DataFrame]
 
