@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -149,13 +150,18 @@ def choose(found: list[tuple[float, str, int]], token: str) -> str:
     return min(found, key=lambda f: (f[0], not f[1].isascii(), -f[2], f[1]))[1]
 
 
-def block_of(token: str) -> str:
-    """Tokens that look the same lie in one block: the first two shapes and the number of shapes."""
+def block_of(token: str) -> tuple[str, int]:
+    """(block, spot) of a token, equal for tokens that look the same.
+
+    The block is the first two shapes and the number of shapes; it tells which
+    part of the vocabulary suspects can reach. The spot spreads tokens evenly,
+    however many share a block.
+    """
     s = spelling_shapes(token)
-    return f"{s[:2]}{len(s)}"
+    return f"{s[:2]}{len(s)}", zlib.crc32(s.encode("utf-8", "surrogatepass"))
 
 
-_SCAN = "suspect boolean, doc_id long, text string, tokens array<string>, token string, block string, n long"
+_SCAN = "suspect boolean, doc_id long, text string, tokens array<string>, token string, block string, spot long, n long"
 
 
 def scan_tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -186,10 +192,10 @@ def scan_tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     else:
                         counts[w] += n
                 if bad:
-                    rows.append((True, i, t, bad, None, None, None))
-            rows += [(False, None, None, None, w, block_of(w), n) for w, n in counts.items()]
-            out = pd.DataFrame(rows, columns=["suspect", "doc_id", "text", "tokens", "token", "block", "n"])
-            yield out.astype({"doc_id": "Int64", "n": "Int64"})
+                    rows.append((True, i, t, bad, None, None, None, None))
+            rows += [(False, None, None, None, w, *block_of(w), n) for w, n in counts.items()]
+            out = pd.DataFrame(rows, columns=["suspect", "doc_id", "text", "tokens", "token", "block", "spot", "n"])
+            yield out.astype({"doc_id": "Int64", "spot": "Int64", "n": "Int64"})
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, _SCAN)
 
@@ -199,15 +205,18 @@ def split_tokens(text: str) -> list[str]:
     return _SEPARATORS.split(text)
 
 
-def spellings(suspects: DataFrame, vocabulary: DataFrame, most: float = 0.0) -> DataFrame:
-    """(token, canonical) of each distinct suspect (token, block), by tries of the vocabulary (token, block, n).
+def spellings(suspects: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(token, canonical) of each distinct suspect, by tries of the vocabulary.
 
-    Blocks that no suspect lies in are left out before anything is built. Each
-    group builds the trie of its blocks once and runs its suspects through it.
+    Both have (token, block, spot), the vocabulary also n. Blocks that no
+    suspect lies in are left out before anything is built. Tokens are spread
+    over tries of about ``TRIE_TOKENS`` by their spots, so no trie grows with
+    the vocabulary; tokens that look the same meet in one. Each task builds its
+    trie once and runs its suspects through it.
     """
     blocks = suspects.select("block").distinct()
-    near = vocabulary.join(blocks, "block", "left_semi").groupBy("token", "block").agg(F.sum("n").alias("n"))
-    both = written(near.withColumn("suspect", F.lit(False)).unionByName(suspects.select("token", "block", F.lit(0).cast("long").alias("n"), F.lit(True).alias("suspect"))), "trie-tokens")
+    near = vocabulary.join(blocks, "block", "left_semi").groupBy("token", "spot").agg(F.sum("n").alias("n")).withColumn("suspect", F.lit(False))
+    both = written(near.unionByName(suspects.select("token", "spot", F.lit(0).cast("long").alias("n"), F.lit(True).alias("suspect"))), "trie-tokens")
     groups = max(1, both.count() // TRIE_TOKENS)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -216,10 +225,9 @@ def spellings(suspects: DataFrame, vocabulary: DataFrame, most: float = 0.0) ->
         for w, n in zip(plain["token"], plain["n"]):
             trie.add(w, int(n))
         tokens = rows.loc[rows["suspect"], "token"].tolist()
-        return pd.DataFrame({"token": tokens, "canonical": [choose(trie.search(t, most), t) for t in tokens]})
+        return pd.DataFrame({"token": tokens, "canonical": [choose(trie.search(t), t) for t in tokens]})
 
-    bucket = F.pmod(F.xxhash64("block"), F.lit(groups))
-    return both.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(run, "token string, canonical string")
+    return both.withColumn("bucket", F.pmod("spot", F.lit(groups))).groupBy("bucket").applyInPandas(run, "token string, canonical string")
 
 
 def rewrite(affected: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -237,20 +245,19 @@ def rewrite(affected: DataFrame, pairs: DataFrame) -> DataFrame:
     return affected.join(per_doc, "doc_id", "left").select("doc_id", "text", "old", "new").mapInPandas(run, "doc_id long, text string")
 
 
-def canonical_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def canonical_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(changed, spellings): canonical texts of the documents that hold suspects, and (token, canonical).
 
     Every other document is its own canonical text but for its spaces. Null
-    and empty texts hold nothing. Beyond ``most`` = 0 misspellings are pulled
-    to the vocabulary too; texts that look the same need zero.
+    and empty texts hold nothing.
     """
     scanned = written(scan_tokens(docs, doc_id, text), "tokens", partition_by=["suspect"])
     affected = scanned.where(F.col("suspect")).select("doc_id", "text", "tokens")
-    vocabulary = scanned.where(~F.col("suspect")).select("token", "block", "n")
-    block = F.pandas_udf(_blocks, "string")
+    vocabulary = scanned.where(~F.col("suspect")).select("token", "block", "spot", "n")
+    block = F.pandas_udf(_blocks, "block string, spot long")
     places = affected.select("doc_id", F.explode("tokens").alias("token"))
-    suspects = written(places.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("block", block("token")), "suspects")
-    table = written(spellings(suspects, vocabulary, most).join(suspects.select("token", "n"), "token"), "spellings")
+    suspects = written(places.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("b", block("token")).select("token", "n", "b.block", "b.spot"), "suspects")
+    table = written(spellings(suspects, vocabulary).join(suspects.select("token", "n"), "token"), "spellings")
     total = table.agg(F.sum("n")).first()[0] or 0
     bound = max(1.0, total / HOT_SHARE)
     hot = F.broadcast(table.where(F.col("n") >= bound).select("token", "canonical"))
@@ -259,8 +266,8 @@ def canonical_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rewrite(affected.select("doc_id", "text"), pairs.select("doc_id", "token", "canonical")), table.select("token", "canonical")
 
 
-def _blocks(tokens: pd.Series) -> pd.Series:
-    return tokens.map(block_of)
+def _blocks(tokens: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([block_of(t) for t in tokens], columns=["block", "spot"])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

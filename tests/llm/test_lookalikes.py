@@ -76,3 +76,9 @@ def test_trie_costs():
 @pytest.mark.parametrize("a, b", SAME)
 def test_table_form_depends_on_looks_only(a, b):
     assert [L.table_form(x) for x in L.split_tokens(a)] == [L.table_form(x) for x in L.split_tokens(b.replace(" ", " ").replace(" ", " "))]
+
+
+def test_many_small_tries_give_the_same(spark, monkeypatch):
+    texts = [x for p in SAME for x in p] * 2 + [f"wоrd{i} word{i}" for i in range(200)] + [f"word{i} word{i}" for i in range(200)]
+    monkeypatch.setattr(L, "TRIE_TOKENS", 20)
+    assert sorted(pairs(spark, texts)) == brute(texts)
