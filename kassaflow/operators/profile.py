@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import lenient_double
 
-WHOLE_NUMBER = r"^(?:0|[1-9][0-9]*)$"
+WHOLE_NUMBER = r"^(?:0|[1-9][0-9]*)\z"
 
 
 @dataclass(frozen=True)
