@@ -44,10 +44,12 @@ def whole_number_text(c: Column | str) -> Column:
     Fractions are cut towards zero. Null for null, empty and non-numeric text
     and for numbers beyond 37 digits. Digits that fit a bigint stay exact.
     """
-    t = F.regexp_replace(_c(c), rf"^{_SPACE}|{_SPACE}$", "")
+    c = _c(c)
+    t = F.regexp_replace(c, rf"^{_SPACE}|{_SPACE}$", "")
     exact = F.when(t.rlike(r"^[+-]?[0-9]{1,15}(?:\.0*)?$"), F.regexp_extract(t, r"^\+?(-?[0-9]+)", 1).try_cast("long").cast("string"))
     cut = F.when(t.rlike(NUMERIC), F.when(t.try_cast("double") < 0, F.ceil(t.try_cast("double").try_cast("decimal(38,1)"))).otherwise(F.floor(t.try_cast("double").try_cast("decimal(38,1)"))).cast("string"))
-    return F.coalesce(exact, cut)
+    # most ids are plain already; the branches behind run for the others only
+    return F.when(c.rlike(r"^(?:0|[1-9][0-9]{0,14})\z"), c).otherwise(F.coalesce(exact, cut))
 
 
 def canonical_id(c: Column | str) -> Column:
