@@ -22,10 +22,10 @@ def test_all_five_on_csv(spark, tmp_path):
     write(tmp_path, "transaction_items", "t1,1,2,1,2.5,2024-01-02 00:00:00", "t1,2,3,1,1.0,2024-01-02 00:00:00", "t1,3,5,1,,2024-01-02 00:00:00", "t1,7,1,1,9,2024-02-02 00:00:00")
     write(tmp_path, "users", "10,f,1990-01-01,2024-01-01 00:00:00", "14.0,f,1991-01-01,2024-01-01 00:00:00")
     write(tmp_path, "stores", '1,"One, Hof",a,1,b,c,1,1', "2,Two,a,1,b,c,1,1")
-    write(tmp_path, "menu_items", "1,Tea,food,1,True,,", "2,Coffee,food,1,True,,")
+    write(tmp_path, "menu_items", "1,Tea,food,1,True,,", "2,Mocha,food,1,True,,")
     got = {k: [tuple(map(str, r)) for r in df.collect()] for k, df in sales.run_all(sales.from_csv(spark, str(tmp_path))).items()}
     assert got["q1"] == [("t2", "80.00"), ("t3", "75.00"), ("t7", "76.00")]
-    assert got["q2_a"] == [("2024-01", "Coffee", "3"), ("2024-02", "7", "1")]
+    assert got["q2_a"] == [("2024-01", "Mocha", "3"), ("2024-02", "7", "1")]
     assert got["q2_b"] == [("2024-01", "Tea", "2.50"), ("2024-02", "7", "9.00")]
     assert got["q3"] == [("2024-H1", "One, Hof", "235.00"), ("2024-H2", "Two", "74.99"), ("2025-H2", "Two", "76.00")]
     assert got["q4"] == [("One, Hof", "11"), ("One, Hof", "1990-01-01"), ("Two", "1991-01-01")]
