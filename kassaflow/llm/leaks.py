@@ -11,6 +11,11 @@ touched up in single words or interrupted is one stretch.
 
 The passages are the query set: they are held by every task, in blocks of a
 bounded vocabulary, and each block is searched in all documents.
+
+Leaks must not make their own words common: an occurrence of a word inside a
+quotation of a passage isn't counted when rare words are chosen, and a
+quotation of enough words needs no rare word. What more than ``Rule.shared``
+different passages have is a common formula, not a quotation.
 """
 
 from __future__ import annotations
@@ -50,7 +55,10 @@ class Rule:
     rare_share: of the stretch's rare words, those matched; a text made by the
     same pattern shares the common words only. A word is rare up to
     ``rare_part`` of all documents, or ``rare_least`` documents. far, wide:
-    words that may be left out or put in at one place.
+    words that may be left out or put in at one place. shared: different
+    passages that may have a quotation, or a quoted word (of that, a part of
+    ``shared_part`` at least); what more have is a common formula.
+    dense: words of a quotation in verbatim matches of ``SEED`` words and more.
     """
 
     least: int = 12
@@ -65,6 +73,9 @@ class Rule:
     insert: float = 0.1
     far: int = 6
     wide: int = 24
+    shared: int = 3
+    shared_part: float = 0.01
+    dense: float = 0.6
 
 
 def words(text: str | None) -> list[str]:
@@ -215,25 +226,117 @@ def one_of_each_hot_text(docs: DataFrame, text: str, share: float) -> DataFrame:
     return texts.join(hot, "h", "left_anti").select("text").unionByName(one.select("text"))
 
 
-def word_counts(docs: DataFrame, text: str, vocabulary: dict[str, int], share: float) -> tuple[dict[int, int], int]:
+def shards(batches: Iterator[pd.DataFrame], vocabulary: dict[str, int], shard_words: int) -> Iterator[tuple[list[int], list[int], list[int]]]:
+    """(ids, starts, word numbers) of shards of the documents of (id, text)."""
+    ids: list[int] = []
+    flat: list[int] = [0]
+    starts: list[int] = []
+    get = vocabulary.get
+    for b in batches:
+        for i, x in zip(b.iloc[:, 0], b.iloc[:, 1]):
+            ids.append(i)
+            starts.append(len(flat))
+            flat.extend([get(a, 0) for a in words(x)])
+            flat.append(0)
+            if len(flat) >= shard_words:
+                yield ids, starts, flat
+                ids, flat, starts = [], [0], []
+    if ids:
+        yield ids, starts, flat
+
+
+def matches(flat: np.ndarray, starts: np.ndarray, t: Tests) -> np.ndarray:
+    """Rows document, passage, place, test place and words of all matches of a shard, by document, passage and place."""
+    parts = [np.zeros((5, 0), np.int64)]
+    for p, q, size in SuffixArray(flat, len(t.vocabulary) + 1).search(t):
+        parts.append(np.stack([np.searchsorted(starts, p, "right") - 1, np.searchsorted(t.starts, q, "right") - 1, p, q, size]))
+    m = np.concatenate(parts, axis=1)
+    return m[:, np.lexsort((m[2], m[1], m[0]))]
+
+
+def quotations(m: np.ndarray, t: Tests, starts: np.ndarray, flat: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(quoted, own): which of a shard's places hold a quoted word, and how many places of a quotation each match of ``m`` adds.
+
+    A run of matches of one passage, ``rule.far`` words apart at most, is a
+    quotation if it covers as many words as a stretch needs (or the whole of a
+    shorter passage) and most of its own length. Places that more than
+    ``rule.shared`` different passages cover are a common formula; repeated
+    passages are one. Words between and beside the matches of a quotation with
+    places of its own are quoted too, as touched-up words may part them.
+    Words of more passages than may have a quoted word aren't quoted.
+    """
+    n = len(flat)
+    if not m.shape[1]:
+        return np.zeros(n, bool), np.zeros(0, np.int64)
+    pair = m[0] * len(t.ids) + m[1]
+    end = m[2] + m[4]
+    # the furthest end before each match of its pair
+    reach = np.cumsum(np.concatenate([[0], np.diff(pair) != 0])) * (n + 1)
+    reached = np.concatenate([[-1], np.maximum.accumulate(reach + end)[:-1]]) - reach
+    head = np.concatenate([[True], np.diff(pair) != 0]) | (m[2] > reached + rule.far)
+    start = np.where(head, m[2], np.maximum(m[2], reached))
+    new = np.maximum(end - start, 0)
+    first = np.flatnonzero(head)
+    run = np.cumsum(head) - 1
+    covered = np.add.reduceat(new, first)
+    span = np.maximum.reduceat(end, first) - m[2][first]
+    whole = np.diff(np.concatenate([t.starts, [len(t.flat)]])) - 1
+    need = np.minimum(rule.share * rule.least, whole[m[1][first]])
+    good = ((covered >= need) & (covered >= rule.dense * span))[run]
+    # of passages that are repeated, the first counts
+    seen: dict[bytes, int] = {}
+    one = np.array([seen.setdefault(t.flat[a : a + k].tobytes(), i) == i for i, (a, k) in enumerate(zip(t.starts, whole))])
+
+    def cover(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:n]
+
+    def places(of: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(of)])
+        return np.where(good & (new > 0), upto[end] - upto[np.minimum(start, end)], 0)
+
+    counted = good & one[m[1]] & (new > 0)
+    own = places(cover(start[counted], end[counted]) <= rule.shared)
+    # two short formulas one after the other are none of a passage's own
+    short = one[m[1]] & (new > 0)
+    alone = np.add.reduceat(places(cover(start[short], end[short]) <= rule.shared), first)
+    own = np.where((2 * alone >= need)[run], own, 0)
+    # a word that many passages have may be of a short formula and is counted wherever it stands
+    base = len(t.vocabulary) + 1
+    of = np.repeat(np.arange(len(whole)), whole + 1)
+    inside = np.unique((of.astype(np.int64) * base + t.flat)[one[of]])
+    few = (np.bincount(inside % base, minlength=base) <= max(rule.shared, rule.shared_part * one.sum()))[flat]
+    real = good[first] & (2 * np.add.reduceat(places(few), first) >= need)
+    d = m[0][first][real]
+    low = np.maximum(m[2][first][real] - rule.far, starts[d])
+    high = np.minimum(np.maximum.reduceat(end, first)[real] + rule.far, np.append(starts, n)[d + 1])
+    return (cover(low, high) > 0) & few, own
+
+
+def word_counts(docs: DataFrame, text: str, block: Tests, rule: Rule, shard_words: int) -> tuple[dict[int, int], int]:
     """In how many documents each word of the vocabulary stands, and the number of documents.
 
-    Counted over all documents, but copies of one text that alone would make
-    its words common (``share`` of the documents or more) count once. The
+    Counted over all documents, but only where the word isn't part of a
+    quotation, and copies of one text that alone would make its words common
+    (a quarter of ``rule.rare_part`` of the documents or more) count once. The
     result is as large as the tests' vocabulary.
     """
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    known = docs.sparkSession.sparkContext.broadcast(vars(block))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter[int] = Counter()
-        v = known.value
-        for b in batches:
-            for x in b["text"]:
-                c[0] += 1
-                c.update({v[w] for w in set(words(x)) if w in v})
-        yield pd.DataFrame({"word": list(c.keys()), "n": list(c.values())})
-
-    texts = one_of_each_hot_text(docs, text, share)
+        t = Tests(**known.value)
+        base = len(t.vocabulary) + 1
+        c = np.zeros(base, np.int64)
+        for ids, starts, words_ in shards(batches, t.vocabulary, shard_words):
+            flat, begin = np.array(words_, np.int32), np.array(starts)
+            quoted, _ = quotations(matches(flat, begin, t), t, begin, flat, rule)
+            at = np.flatnonzero((flat > 0) & ~quoted)
+            inside = np.unique((np.searchsorted(begin, at, "right") - 1) * base + flat[at])
+            c += np.bincount(inside % base, minlength=base)
+            c[0] += len(ids)
+        some = np.flatnonzero(c)
+        yield pd.DataFrame({"word": some, "n": c[some]})
+
+    texts = one_of_each_hot_text(docs, text, rule.rare_part / 4).select(F.lit(0).alias("i"), "text")
     got = texts.mapInPandas(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r["word"]: r["n"] for r in got}
     return counts, counts.pop(0, 0)
@@ -257,7 +360,7 @@ def leaked(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: s
     tests = test_blocks([(r[0], r[1]) for r in passages.select(eval_id, passage).where(F.col(passage).isNotNull()).collect()])
     out = None
     for block in tests:
-        counts, n = word_counts(docs, text, block.vocabulary, rule.rare_part / 4)
+        counts, n = word_counts(docs, text, block, rule, shard_words)
         most = max(rule.rare_least, rule.rare_part * n)
         rare = np.zeros(len(block.vocabulary) + 1, bool)
         for w in block.vocabulary.values():
@@ -268,23 +371,7 @@ def leaked(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: s
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             parts, known_rare = shared.value
             t = Tests(**parts)
-            ids: list[int] = []
-            flat: list[int] = [0]
-            starts: list[int] = []
-            get = t.vocabulary.get
-            for b in batches:
-                for i, x in zip(b.iloc[:, 0], b.iloc[:, 1]):
-                    w = words(x)
-                    if len(w) < SEED:
-                        continue
-                    ids.append(i)
-                    starts.append(len(flat))
-                    flat.extend([get(a, 0) for a in w])
-                    flat.append(0)
-                    if len(flat) >= shard_words:
-                        yield search_shard(ids, starts, flat, t, known_rare, rule)
-                        ids, flat, starts = [], [0], []
-            if ids:
+            for ids, starts, flat in shards(batches, t.vocabulary, shard_words):
                 yield search_shard(ids, starts, flat, t, known_rare, rule)
 
         found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, FOUND)
@@ -295,21 +382,16 @@ def leaked(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: s
 def search_shard(ids: list[int], starts: list[int], words_: list[int], t: Tests, rare: np.ndarray, rule: Rule) -> pd.DataFrame:
     """The leaked stretches of one shard."""
     flat, begin = np.array(words_, np.int32), np.array(starts)
-    array = SuffixArray(flat, len(t.vocabulary) + 1)
     before = np.concatenate([[0], np.cumsum(rare[t.flat])])
-    parts = []
-    for p, q, size in array.search(t):
-        d = np.searchsorted(begin, p, "right") - 1
-        e = np.searchsorted(t.starts, q, "right") - 1
-        parts.append(np.stack([d, e, p, q, size, before[q + size] - before[q]]))
     rows = []
-    if parts:
-        m = np.concatenate(parts, axis=1)
-        # only documents and passages that share a match with a rare word go on
-        pair = m[0].astype(np.int64) * len(t.ids) + m[1]
-        m = m[:, np.isin(pair, np.unique(pair[m[5] > 0]))]
-        m = m[:, np.lexsort((m[2], m[1], m[0]))]
-        pair = m[0].astype(np.int64) * len(t.ids) + m[1]
+    m = matches(flat, begin, t)
+    if m.shape[1]:
+        _, own = quotations(m, t, begin, flat, rule)
+        m = np.concatenate([m, [before[m[3] + m[4]] - before[m[3]], own]])
+        # only documents and passages that share a match with a rare word or a quotation go on
+        pair = m[0] * len(t.ids) + m[1]
+        keep = np.isin(pair, np.unique(pair[(m[5] > 0) | (m[6] > 0)]))
+        m, pair = m[:, keep], pair[keep]
         reach = 2 * rule.wide
         # a new site where the pair changes or the matches lie far apart
         cut = np.flatnonzero((np.diff(pair) != 0) | (np.diff(m[2]) > reach + m[4][:-1])) + 1 if m.shape[1] else []
@@ -317,17 +399,21 @@ def search_shard(ids: list[int], starts: list[int], words_: list[int], t: Tests,
         known: set[int] = set(np.flatnonzero(rare).tolist())
         known.discard(0)
         for site in np.split(np.arange(m.shape[1]), cut):
-            if not len(site) or m[5, site].sum() == 0:
+            if not len(site):
                 continue
             d, e = int(m[0, site[0]]), int(m[1, site[0]])
+            end = int(t.starts[e + 1]) - 1 if e + 1 < len(t.starts) else len(t.flat) - 1
+            quoted = int(m[6, site].sum())
+            if m[5, site].sum() == 0 and quoted < min(rule.least, end - int(t.starts[e])):
+                continue
             last = starts[d + 1] - 1 if d + 1 < len(starts) else len(words_) - 1
             low, high = max(starts[d], int(m[2, site[0]]) - reach), min(last, int((m[2, site] + m[4, site]).max()) + reach)
-            end = int(t.starts[e + 1]) - 1 if e + 1 < len(t.starts) else len(t.flat) - 1
             test = t.flat[int(t.starts[e]) : end].tolist()
             got = align(test, words_[low:high], known, rule)
+            got = (*got, quoted)
             if got > best.get((d, e), (0.0,)):
                 best[(d, e)] = got
-        for (d, e), (score, matched, first, behind, r) in best.items():
+        for (d, e), (score, matched, first, behind, r, quoted) in best.items():
             end = int(t.starts[e + 1]) - 1 if e + 1 < len(t.starts) else len(t.flat) - 1
             whole = end - int(t.starts[e])
             span = behind - first
@@ -335,7 +421,7 @@ def search_shard(ids: list[int], starts: list[int], words_: list[int], t: Tests,
             if whole < rule.least:
                 ok = matched == whole
             else:
-                ok = span >= rule.least and matched >= rule.share * span and score >= rule.score and r >= (min(rule.rare, 1) if score >= rule.sure else rule.rare) and r >= rule.rare_share * of
+                ok = span >= rule.least and matched >= rule.share * span and score >= rule.score and ((quoted >= rule.least and (matched == span or score >= rule.sure)) or (r >= (min(rule.rare, 1) if score >= rule.sure else rule.rare) and r >= rule.rare_share * of))
             if ok:
                 rows.append((int(ids[d]), int(t.ids[e]), float(score), matched, first, behind, r, of))
     return pd.DataFrame(rows, columns=["doc_id", "eval_id", "score", "matched", "first_word", "behind_word", "rare", "rare_of"])

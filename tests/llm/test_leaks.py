@@ -106,5 +106,27 @@ def test_copies_that_are_a_third_of_the_corpus_leak_too(spark):
     assert {(r.doc_id, r.eval_id) for r in leaks.leaked(d, e).collect()} == {(i, 8) for i in range(300)}
 
 
+def test_near_copies_in_differing_texts_that_are_a_third_of_the_corpus_leak_too(spark):
+    def copy(i):
+        w = stretch(9, i % 5, 28 - i % 3)
+        w[4 + R.randrange(6)] = w[14 + R.randrange(6)] = f"touched{i}"
+        return noise(10 + R.randrange(20)) + w + noise(10 + R.randrange(20))
+
+    docs = [(i, " ".join(copy(i))) for i in range(300)] + [(1000 + i, " ".join(noise(30))) for i in range(600)]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(PASSAGES, "eval_id long, passage string")
+    assert {(r.doc_id, r.eval_id) for r in leaks.leaked(d, e).collect()} == {(i, 9) for i in range(300)}
+
+
+def test_a_verbatim_passage_of_common_words_leaks_and_a_formula_of_many_passages_does_not(spark):
+    r = random.Random(4)
+    plain = r.sample(COMMON, 20)
+    formula = r.sample(COMMON, 14)
+    passages = [(0, " ".join(plain)), (1, " ".join(plain))] + [(10 + i, " ".join([*formula, *(f"Own{i}x{j}" for j in range(14))])) for i in range(6)]
+    docs = [(1, " ".join(noise(20) + plain + noise(20))), (2, " ".join(noise(20) + formula + noise(20)))] + [(100 + i, " ".join(noise(60))) for i in range(400)]
+    docs += [(2000 + i, " ".join([*formula, f"other{i}"])) for i in range(30)]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "eval_id long, passage string")
+    assert {(x.doc_id, x.eval_id) for x in leaks.leaked(d, e).collect()} == {(1, 0), (1, 1)}
+
+
 # the module's name for making blocks begins with "test"; it isn't a test
 leaks.test_blocks.__test__ = False
