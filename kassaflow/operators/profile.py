@@ -5,14 +5,15 @@ exact power sums of a column in one load. Two profiles of disjoint rows merge
 by adding (``merge_profiles``); only distinct counts need the values.
 
 Power sums are exact integers: values are read on a grid of the column (a
-power of ten that leaves seven digits), and the grid's integers, their squares,
-cubes and fourth powers are summed as decimals. Their result doesn't depend on
-the order of the rows or on how they were split.
+power of ten that leaves seven digits to its median decade), and the grid's
+integers, their squares, cubes and fourth powers are summed as decimals. Values
+of higher decades are read with seven digits too and summed by decade
+(``beyond``), so no value, however large, coarsens the others. Their result
+doesn't depend on the order of the rows or on how they were split.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,15 +58,27 @@ def column_values(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
 
 
 def column_grids(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Exponent of the power of ten of each column's grid; one row reaches the driver."""
-    r = df.agg(*[F.max(F.abs(_number(df, c))).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    """Exponent of the power of ten of each column's grid; a row per column and decade reaches the driver."""
+    cols = [F.struct(F.lit(c).alias("c"), _decade(_number(df, c)).alias("e")) for c in columns]
+    rows = df.select(F.explode(F.array(*cols)).alias("x")).where("x.e is not null").groupBy("x.c", "x.e").count().collect()
     out = {}
-    for i, c in enumerate(columns):
-        m = r[f"c{i}"]
-        out[c] = math.ceil(math.log10(m)) - 7 if m and math.isfinite(m) else -2
+    for c in columns:
+        decades = sorted((r["e"], r["count"]) for r in rows if r["c"] == c)
+        half, seen, out[c] = sum(n for _, n in decades) / 2, 0, -2
+        for e, n in decades:
+            seen += n
+            if seen >= half:
+                out[c] = e - 7
+                break
     return out
 
 
+def _decade(x: Column) -> Column:
+    """The smallest power of ten that isn't below a number's absolute value; null for 0."""
+    a = F.abs(x)
+    return F.when((a > 0) & (a < float("inf")), F.ceil(F.log10(a)).cast("int"))
+
+
 def _number(df: DataFrame, c: str) -> Column:
     kind = df.schema[c].dataType
     col = F.col(f"`{c}`")
@@ -105,14 +118,15 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns
     for c, p in (patterns or {}).items():
         bad = F.when((name == c) & ~v.rlike(p), n).otherwise(bad)
     d = values.withColumn("x", num).withColumn("grid", grid)
-    k = F.round(F.col("x") / F.pow(F.lit(10.0), F.col("grid"))).cast("decimal(12,0)")
+    d = d.withColumn("tier", F.greatest("grid", _decade(F.col("x")) - 7))
+    k = F.round(F.col("x") / F.pow(F.lit(10.0), F.col("tier"))).cast("decimal(12,0)")
     d = d.withColumn("k", k).withColumn("k2", (F.col("k") * F.col("k")).cast("decimal(20,0)"))
     m = n.cast("decimal(18,0)")
 
     def power(e: Column) -> Column:
         return F.sum(e.try_cast("decimal(38,0)"))
 
-    return d.groupBy("load_id", "column_name").agg(
+    tiers = d.groupBy("load_id", "column_name", "grid", "tier").agg(
         F.sum("n").alias("n_rows"),
         F.sum(F.when(v.isNull(), n).otherwise(0)).alias("n_null"),
         F.count(v).alias("n_distinct"),
@@ -121,15 +135,25 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns
         F.max(v).alias("max_text"),
         F.min("x").alias("min_value"),
         F.max("x").alias("max_value"),
-        F.first("grid").alias("grid"),
         F.sum(F.when(F.col("k").isNotNull(), n).otherwise(0)).alias("s0"),
         power(F.col("k") * m).alias("s1"),
         power(F.col("k2") * m).alias("s2"),
         power((F.col("k2") * F.col("k")).try_cast("decimal(38,0)") * m).alias("s3"),
         power((F.col("k2") * F.col("k2")).try_cast("decimal(38,0)") * m).alias("s4"),
     )
+    own = F.col("tier") == F.col("grid")
+    return tiers.groupBy("load_id", "column_name").agg(
+        *[F.sum(c).alias(c) for c in ("n_rows", "n_null", "n_distinct", "n_violations")],
+        *[F.min(c).alias(c) for c in ("min_text", "min_value")],
+        *[F.max(c).alias(c) for c in ("max_text", "max_value")],
+        F.first("grid").alias("grid"),
+        F.sum(F.when(own, F.col("s0")).otherwise(0)).alias("s0"),
+        *[F.sum(F.when(own, F.col(c))).alias(c) for c in ("s1", "s2", "s3", "s4")],
+        F.array_sort(F.collect_list(F.when(~own, F.struct(F.col("tier").alias("grid"), *POWERS)))).alias("beyond"),
+    )
 
 
+POWERS = ["s0", "s1", "s2", "s3", "s4"]
 SUMS = ["n_rows", "n_null", "n_violations", "s0", "s1", "s2", "s3", "s4"]
 
 
@@ -138,16 +162,32 @@ def merge_profiles(*profiles: DataFrame) -> DataFrame:
     out = profiles[0]
     for p in profiles[1:]:
         out = out.unionByName(p)
-    return out.groupBy("load_id", "column_name", "grid").agg(*[F.sum(c).alias(c) for c in SUMS], F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text"), F.lit(None).cast("long").alias("n_distinct"))
+    out = out.groupBy("load_id", "column_name", "grid").agg(*[F.sum(c).alias(c) for c in SUMS], F.flatten(F.collect_list("beyond")).alias("beyond"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text"), F.lit(None).cast("long").alias("n_distinct"))
+
+    def total(grid: Column, c: str) -> Column:
+        kind = "long" if c == "s0" else "decimal(38,0)"
+        return F.aggregate(F.filter("beyond", lambda x: x["grid"] == grid), F.lit(0).cast(kind), lambda a, x: (a + x[c]).cast(kind)).alias(c)
+
+    grids = F.array_sort(F.array_distinct(F.transform("beyond", lambda x: x["grid"])))
+    return out.withColumn("beyond", F.transform(grids, lambda g: F.struct(g.alias("grid"), *[total(g, c) for c in POWERS])))
 
 
 def moments(p: DataFrame) -> DataFrame:
-    """Adds mean, standard deviation and standardised third and fourth moments, from the power sums."""
-    n, unit = F.col("s0").cast("double"), F.pow(F.lit(10.0), F.col("grid"))
-    r = {i: F.col(f"s{i}").cast("double") / n for i in (1, 2, 3, 4)}
+    """Adds mean, standard deviation and standardised third and fourth moments, from the power sums; ``s0`` comes out as the count of all."""
+    # all decades in units of the highest, as a fourth power may lie beyond any double
+    top = F.greatest("grid", F.array_max(F.transform("beyond", lambda x: x["grid"])))
+
+    def total(i: int) -> Column:
+        low = F.coalesce(F.col(f"s{i}").cast("double"), F.lit(0.0)) * F.pow(F.lit(10.0), i * (F.col("grid") - F.col("__top")))
+        return F.aggregate("beyond", low, lambda a, x: a + x[f"s{i}"].cast("double") * F.pow(F.lit(10.0), i * (x["grid"] - F.col("__top"))))
+
+    p = p.withColumn("__top", top)
+    p = p.withColumns({"s0": F.aggregate("beyond", F.col("s0"), lambda a, x: a + x["s0"]), **{f"__s{i}": total(i) for i in (1, 2, 3, 4)}})
+    n, unit = F.col("s0").cast("double"), F.pow(F.lit(10.0), F.col("__top"))
+    r = {i: F.col(f"__s{i}") / n for i in (1, 2, 3, 4)}
     some = F.col("s0") > 0
-    # the variance from exact integers: n s2 - s1^2 without cancellation
-    var = F.greatest((F.col("s2").cast("double") - F.col("s1").cast("double") * r[1]) / n, F.lit(0.0))
+    # the variance from sums of exact integers: n s2 - s1^2
+    var = F.greatest((F.col("__s2") - F.col("__s1") * r[1]) / n, F.lit(0.0))
     p = p.withColumn("__m", F.when(some, r[1])).withColumn("__v", F.when(some, var))
     m, v = F.col("__m"), F.col("__v")
     third = r[3] - 3 * m * r[2] + 2 * m * m * m
@@ -155,7 +195,7 @@ def moments(p: DataFrame) -> DataFrame:
     flat = v <= 0
     p = p.withColumn("mean", m * unit).withColumn("sd", F.sqrt(v) * unit)
     p = p.withColumn("skew", F.when(some & ~flat, third / F.pow(v, F.lit(1.5)))).withColumn("kurt", F.when(some & ~flat, fourth / (v * v)))
-    return p.drop("__m", "__v")
+    return p.drop("__m", "__v", "__top", "__s1", "__s2", "__s3", "__s4")
 
 
 def departures(profiles: DataFrame, limits: Limits = Limits(), by: list[str] | None = None) -> DataFrame:

@@ -82,6 +82,23 @@ def test_each_kind_of_departure(spark):
     assert "spread" in got["amount", 7] and "distinct" in got["user_id", 8] and "spread" in got["amount", 9]
 
 
+def test_one_absurd_value_hides_no_other_load(spark):
+    df = loads(spark, change=lambda r, x: (x[0], x[1], x[2] / 20 + (3 if x[0] == 6 else 0), x[3])).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    ids = df.withColumn("user_id", F.when(F.col("load_id") == 8, (F.col("user_id").cast("int") + 4000).cast("string")).otherwise(F.col("user_id")))
+    absurd = ids.unionByName(spark.sql("select 3 load_id, '1e300' user_id, cast(1e12 as decimal(18,2)) amount, 'a' flag"))
+    assert {("amount", 6), ("amount", 3), ("user_id", 8), ("user_id", 3)} == set(found(absurd))
+    m = {(x.column_name, x.load_id): x for x in prof.moments(prof.profile(absurd, "load_id")).collect()}
+    want = {x.load_id: (x.m, x.s) for x in absurd.groupBy("load_id").agg(F.avg(F.col("amount").cast("double")).alias("m"), F.stddev_pop(F.col("amount").cast("double")).alias("s")).collect()}
+    for i, (mean, sd) in want.items():
+        assert abs(m["amount", i]["mean"] / mean - 1) < 1e-6 and abs(m["amount", i].sd / sd - 1) < 1e-5
+    grids = prof.column_grids(absurd, ["user_id", "amount"])
+    whole = prof.profile(absurd, "load_id", ["user_id", "amount"], grids=grids)
+    parts = [prof.profile(absurd.where(F.col("flag").isNull() == b), "load_id", ["user_id", "amount"], grids=grids) for b in (True, False)]
+    cols = ["load_id", "column_name", *prof.SUMS, "beyond"]
+    key = lambda x: (x[0], x[1])
+    assert sorted(map(tuple, prof.merge_profiles(*parts).select(cols).collect()), key=key) == sorted(map(tuple, whole.select(cols).collect()), key=key)
+
+
 # -- references
 
 
