@@ -35,7 +35,10 @@ class Limits:
     deviations), spread (log ratio of standard deviations), shape (difference
     of standardised third moments), distinct (ratio to what the rows let
     expect, each way), reach (how far, in ordinary ranges, a value lies outside
-    the ordinary range).
+    the ordinary range), mix (share of rows that would have to change their
+    value). rate, mean, spread, shape and mix hold for columns that vary; of
+    others ``steady`` deviations between loads are enough, from ``part`` of the
+    effect on. A value of ``usual`` share is gone below ``gone`` of it.
     """
 
     z: float = 6.0
@@ -45,6 +48,15 @@ class Limits:
     shape: float = 1.0
     distinct: float = 0.65
     reach: float = 3.0
+    mix: float = 0.2
+    steady: float = 10.0
+    part: float = 0.25
+    usual: float = 0.025
+    gone: float = 0.2
+
+
+#: Values of at least this share of a load's filled rows are kept in its profile: 200 at most.
+COMMON = 0.005
 
 
 def column_values(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
@@ -99,7 +111,8 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns
     one, times as seconds. ``patterns`` gives the regular expression that the
     non-empty values of a column should match. Columns of nulls have zero
     distincts and null ranges; an empty table gives an empty profile; a null
-    load is a load of its own. ``grids`` fixes the grid for merging with
+    load is a load of its own. ``common`` has the values of at least ``COMMON``
+    of a load's rows with their counts. ``grids`` fixes the grid for merging with
     profiles made earlier.
     """
     columns = columns or [c for c in df.columns if c != load]
@@ -117,6 +130,8 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns
     bad = F.lit(0)
     for c, p in (patterns or {}).items():
         bad = F.when((name == c) & ~v.rlike(p), n).otherwise(bad)
+    totals = df.groupBy(F.col(load).alias("__load")).agg(F.count(F.lit(1)).alias("__rows"))
+    values = values.join(F.broadcast(totals), F.col("load_id").eqNullSafe(F.col("__load"))).drop("__load")
     d = values.withColumn("x", num).withColumn("grid", grid)
     d = d.withColumn("tier", F.greatest("grid", _decade(F.col("x")) - 7))
     k = F.round(F.col("x") / F.pow(F.lit(10.0), F.col("tier"))).cast("decimal(12,0)")
@@ -140,6 +155,7 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns
         power(F.col("k2") * m).alias("s2"),
         power((F.col("k2") * F.col("k")).try_cast("decimal(38,0)") * m).alias("s3"),
         power((F.col("k2") * F.col("k2")).try_cast("decimal(38,0)") * m).alias("s4"),
+        F.collect_list(F.when(v.isNotNull() & (n >= COMMON * F.col("__rows")), F.struct(v.alias("value"), n.alias("n")))).alias("common"),
     )
     own = F.col("tier") == F.col("grid")
     return tiers.groupBy("load_id", "column_name").agg(
@@ -150,6 +166,7 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns
         F.sum(F.when(own, F.col("s0")).otherwise(0)).alias("s0"),
         *[F.sum(F.when(own, F.col(c))).alias(c) for c in ("s1", "s2", "s3", "s4")],
         F.array_sort(F.collect_list(F.when(~own, F.struct(F.col("tier").alias("grid"), *POWERS)))).alias("beyond"),
+        F.array_sort(F.flatten(F.collect_list("common"))).alias("common"),
     )
 
 
@@ -158,11 +175,11 @@ SUMS = ["n_rows", "n_null", "n_violations", "s0", "s1", "s2", "s3", "s4"]
 
 
 def merge_profiles(*profiles: DataFrame) -> DataFrame:
-    """Profiles of disjoint rows on the same grids as one; distinct counts can't be merged and come out null."""
+    """Profiles of disjoint rows on the same grids as one; distinct counts and common values can't be merged and come out null."""
     out = profiles[0]
     for p in profiles[1:]:
         out = out.unionByName(p)
-    out = out.groupBy("load_id", "column_name", "grid").agg(*[F.sum(c).alias(c) for c in SUMS], F.flatten(F.collect_list("beyond")).alias("beyond"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text"), F.lit(None).cast("long").alias("n_distinct"))
+    out = out.groupBy("load_id", "column_name", "grid").agg(*[F.sum(c).alias(c) for c in SUMS], F.flatten(F.collect_list("beyond")).alias("beyond"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text"), F.lit(None).cast("long").alias("n_distinct"), F.lit(None).cast("array<struct<value:string,n:bigint>>").alias("common"))
 
     def total(grid: Column, c: str) -> Column:
         kind = "long" if c == "s0" else "decimal(38,0)"
@@ -198,6 +215,32 @@ def moments(p: DataFrame) -> DataFrame:
     return p.drop("__m", "__v", "__top", "__s1", "__s2", "__s3", "__s4")
 
 
+def _mixes(p: DataFrame, keys: list[str], limits: Limits) -> DataFrame:
+    """Adds mix (distance of the shares of usual values from their medians), mix_error and gone (some value all but missing).
+
+    Shares are of the filled rows. A value is usual by its median share over
+    the loads, so a column has 1/usual of them at most.
+    """
+    filled = (F.col("n_rows") - F.col("n_null")).cast("double")
+    some = p.where(filled > 0)
+    loads = some.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("__l"))
+    seen = some.select(*keys, filled.alias("__f"), F.explode("common").alias("c")).groupBy(*keys, F.col("c.value").alias("value")).agg(F.collect_list(F.col("c.n") / F.col("__f")).alias("s")).join(loads, keys)
+    half = (F.col("__l") / 2).cast("int")
+    # loads without the value have the share 0
+    seen = seen.withColumn("s", F.concat("s", F.array_repeat(F.lit(0.0), F.col("__l") - F.size("s"))))
+    seen = seen.withColumn("q", F.get(F.array_sort("s"), half)).where(F.col("q") >= limits.usual)
+    seen = seen.withColumn("mad", 1.4826 * F.get(F.array_sort(F.transform("s", lambda x: F.abs(x - F.col("q")))), half))
+    usual = seen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("value", "q", "mad"))).alias("__u"))
+    p = p.join(usual, keys, "left").withColumn("__c", F.map_from_entries("common"))
+    p = p.withColumn("__s", F.when(filled > 0, F.transform("__u", lambda u: F.struct((F.coalesce(F.try_element_at("__c", u["value"]), F.lit(0)) / filled).alias("s"), u["q"].alias("q"), u["mad"].alias("mad")))))
+    zero = F.lit(0.0)
+    rest = F.abs(F.aggregate("__s", zero, lambda a, x: a + x["s"] - x["q"]))
+    mix = (F.aggregate("__s", zero, lambda a, x: a + F.abs(x["s"] - x["q"])) + rest) / 2
+    error = F.aggregate("__s", zero, lambda a, x: a + F.sqrt(x["q"] / filled)) / 2
+    gone = F.exists("__s", lambda x: (x["s"] < limits.gone * x["q"]) & (x["q"] - x["s"] > limits.z * F.sqrt(x["mad"] * x["mad"] + x["q"] / filled)))
+    return p.withColumns({"mix": mix, "mix_error": error, "gone": gone}).drop("__u", "__c", "__s")
+
+
 def departures(profiles: DataFrame, limits: Limits = Limits(), by: list[str] | None = None) -> DataFrame:
     """Compare each load with the median of all loads of its column.
 
@@ -209,12 +252,12 @@ def departures(profiles: DataFrame, limits: Limits = Limits(), by: list[str] | N
     there is one row per load, so the grouped percentiles stay small.
     """
     keys = [*(by or []), "column_name"]
-    p = moments(profiles)
+    p = _mixes(moments(profiles), keys, limits)
     n, filled = F.col("n_rows").cast("double"), (F.col("n_rows") - F.col("n_null")).cast("double")
     p = p.withColumn("null_rate", F.col("n_null") / n).withColumn("violation_rate", F.when(filled > 0, F.col("n_violations") / filled))
     p = p.withColumn("log_sd", F.when(F.col("sd") > 0, F.log("sd")))
     w = Window.partitionBy(*keys)
-    watched = ["null_rate", "violation_rate", "mean", "log_sd", "skew"]
+    watched = ["null_rate", "violation_rate", "mean", "log_sd", "skew", "mix"]
     med = {c: F.expr(f"percentile({c}, 0.5)").over(w) for c in [*watched, "n_rows", "n_distinct", "min_value", "max_value", "sd"]}
     p = p.withColumns({f"med_{c}": e for c, e in med.items()}).withColumn("loads", F.count(F.lit(1)).over(w))
     p = p.withColumns({f"dev_{c}": F.abs(F.col(c) - F.col(f"med_{c}")) for c in watched})
@@ -246,19 +289,26 @@ def departures(profiles: DataFrame, limits: Limits = Limits(), by: list[str] | N
             "z_mean": z("mean", sd0 * sd0 / size),
             "z_spread": z("log_sd", 0.5 * F.greatest(F.col("kurt") - 1, F.lit(2.0)) / 2 / size),
             "z_shape": z("skew", 6 / size),
+            "z_mix": z("mix", F.col("mix_error") * F.col("mix_error")),
             "effect_mean": effect_mean,
             "out_of_range": out_of_range,
         }
     )
     clear = F.lit(limits.z)
+
+    def least(effect: float, c: str, unit: Column = F.lit(1.0)) -> Column:
+        own = F.when(unit > 0, limits.steady * F.col(f"mad_{c}") / unit)
+        return F.least(F.lit(effect), F.greatest(F.lit(limits.part * effect), own))
+
     kinds = {
-        "null_rate": (F.col("z_null") > clear) & (F.col("dev_null_rate") > limits.rate),
-        "pattern": (F.col("z_violation") > clear) & (F.col("dev_violation_rate") > limits.rate),
-        "mean": (F.col("z_mean") > clear) & (F.col("effect_mean") > limits.mean),
-        "spread": ((F.col("z_spread") > clear) & (F.col("dev_log_sd") > limits.spread)) | ((F.col("sd") <= 0) & (sd0 > 0) & (size >= 30)),
-        "shape": (F.col("z_shape") > clear) & (F.col("dev_skew") > limits.shape) & (size >= 200),
+        "null_rate": (F.col("z_null") > clear) & (F.col("dev_null_rate") > least(limits.rate, "null_rate")),
+        "pattern": (F.col("z_violation") > clear) & (F.col("dev_violation_rate") > least(limits.rate, "violation_rate")),
+        "mean": (F.col("z_mean") > clear) & (F.col("effect_mean") > least(limits.mean, "mean", sd0)),
+        "spread": ((F.col("z_spread") > clear) & (F.col("dev_log_sd") > least(limits.spread, "log_sd"))) | ((F.col("sd") <= 0) & (sd0 > 0) & (size >= 30)),
+        "shape": (F.col("z_shape") > clear) & (F.col("dev_skew") > least(limits.shape, "skew")) & (size >= 200),
         "range": F.col("out_of_range") > limits.reach,
         "distinct": few | many,
+        "mix": F.col("gone") | ((F.col("z_mix") > clear) & (F.col("mix") > F.col("med_mix")) & (F.col("dev_mix") > least(limits.mix, "mix"))),
     }
     reasons = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]), lambda x: x.isNotNull())
     p = p.withColumn("reasons", F.when(F.col("loads") >= 4, reasons).otherwise(F.array().cast("array<string>")))

@@ -11,7 +11,7 @@ from ..operators import records
 from ..operators import references as refs
 from ..operators.bands import top_n_by_bands
 from ..operators.redelivery import MessageStore, first_deliveries
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources.readers import parquet, union_all
 
 #: The columns whose loads are compared.
@@ -33,7 +33,7 @@ def profiles(spark: SparkSession, root: str, columns: dict[str, list[str] | None
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Loads in which a watched column departs from its ordinary state."""
-    d = prof.departures(profiles(spark, root, WATCHED), by=["table_name"])
+    d = prof.departures(written(profiles(spark, root, WATCHED), "profiles"), by=["table_name"])
     return d.where(F.col("departs") & F.col("load_id").isNotNull()).select("table_name", "column_name", "load_id")
 
 

@@ -99,6 +99,15 @@ def test_one_absurd_value_hides_no_other_load(spark):
     assert sorted(map(tuple, prof.merge_profiles(*parts).select(cols).collect()), key=key) == sorted(map(tuple, whole.select(cols).collect()), key=key)
 
 
+def test_small_domains_and_rare_nulls_depart(spark):
+    r = random.Random(6)
+    shares = {1: ("1", "1", "1", "1", "1", "2", "2", "2", "3", "4"), 5: ("1", "1", "1", "1", "1", "1", "3", "3", "3", "4"), 7: ("1", "3")}
+    data = [(load, r.choice(shares.get(load, shares[1])), None if load == 9 and r.random() < 0.07 else r.gauss(100, 10)) for load in range(1, 13) for _ in range(3000)]
+    got = found(spark.createDataFrame(data, "load_id int, user_id string, amount double"))
+    assert set(got) == {("user_id", 5), ("user_id", 7), ("amount", 9)}
+    assert "mix" in got["user_id", 5] and "mix" in got["user_id", 7] and got["amount", 9] == {"null_rate"}
+
+
 # -- references
 
 
