@@ -6,8 +6,8 @@ and delimiters; every edit costs. A record that parses at no cost with the
 right number of columns and valid values is loaded; of any other the edits of
 the cheapest parse state the reason.
 
-A quote edit costs more than any number of delimiter edits can, as a record is
-first of all one that is, or isn't, quoted by RFC 4180.
+A quote edit costs more than all delimiter edits that the record can have, as a
+record is first of all one that is, or isn't, quoted by RFC 4180.
 """
 
 from __future__ import annotations
@@ -121,6 +121,8 @@ def cheapest_parse(line: str, columns: int) -> tuple[float, list[str], int]:
     inserted or deleted.
     """
     pieces = [(m.start(), m[0]) for m in _PIECES.finditer(line)]
+    # every piece is one delimiter edit at most, and missing columns one each
+    quote = max(QUOTE_COST, DELIMITER_COST * (len(pieces) + columns + 1))
     top = columns
     # best[(state, count)] = (cost, back pointer chain of edits); count = delimiters that stand so far
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(_START, 0): (0.0, None)}
@@ -138,7 +140,7 @@ def cheapest_parse(line: str, columns: int) -> tuple[float, list[str], int]:
         for (s, n), (cost, chain) in best.items():
             one, more, cut = (n + 1, 0.0, chain) if n < top else (top, DELIMITER_COST, edit(chain, "delete_delimiter", at) if x == "," else chain)
             if x == '"':
-                put(nxt, (s, n), cost + QUOTE_COST, edit(chain, "delete_quote", at))
+                put(nxt, (s, n), cost + quote, edit(chain, "delete_quote", at))
                 if s == _START:
                     put(nxt, (_QUOTED, n), cost, chain)
                 elif s == _QUOTED:
@@ -147,27 +149,27 @@ def cheapest_parse(line: str, columns: int) -> tuple[float, list[str], int]:
                     # a doubled quote is one that stands for itself
                     if pieces[i - 1][1] == '"':
                         put(nxt, (_QUOTED, n), cost, chain)
-                    put(nxt, (_QUOTED, one), cost + more + QUOTE_COST, edit(cut, "separate_values", at))
+                    put(nxt, (_QUOTED, one), cost + more + quote, edit(cut, "separate_values", at))
             elif x == ",":
                 if s == _QUOTED:
                     put(nxt, (s, n), cost, chain)
-                    put(nxt, (_START, one), cost + more + QUOTE_COST, edit(cut, "insert_quote", at))
+                    put(nxt, (_START, one), cost + more + quote, edit(cut, "insert_quote", at))
                 else:
                     put(nxt, (_START, one), cost + more, cut)
             else:
                 if s in (_START, _BARE):
                     put(nxt, (_BARE, n), cost, chain)
                     if s == _START:
-                        put(nxt, (_QUOTED, n), cost + QUOTE_COST, edit(chain, "insert_quote", at))
+                        put(nxt, (_QUOTED, n), cost + quote, edit(chain, "insert_quote", at))
                 elif s == _QUOTED:
                     put(nxt, (s, n), cost, chain)
                 else:
-                    put(nxt, (_BARE, one), cost + more + QUOTE_COST, edit(cut, "separate_values", at))
+                    put(nxt, (_BARE, one), cost + more + quote, edit(cut, "separate_values", at))
         best = nxt
     ends: dict[tuple[int, int], tuple[float, tuple | None]] = {}
     for (s, n), (cost, chain) in best.items():
         if s == _QUOTED:
-            put(ends, (_CLOSED, n), cost + QUOTE_COST, edit(chain, "insert_quote", len(line)))
+            put(ends, (_CLOSED, n), cost + quote, edit(chain, "insert_quote", len(line)))
         else:
             put(ends, (s, n), cost, chain)
     total = lambda e: e[1][0] + DELIMITER_COST * abs(e[0][1] + 1 - columns)
@@ -196,7 +198,7 @@ def judge(table: str | None, columns: int | None, raw: str | None) -> tuple[str
         return (None, None, values) if bad is None else ("invalid_value", bad, None)
     _, edits, _ = cheapest_parse(line, columns)
     reason = "quoting" if any("quote" in e or "separate" in e for e in edits) else "column_count"
-    return reason, ";".join(edits[:20]), None
+    return reason, ";".join(edits), None
 
 
 PARSED = "raw_id long, data_type string, reason string, detail string, fields array<string>"

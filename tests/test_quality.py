@@ -248,6 +248,12 @@ def test_what_a_writer_quotes_is_read_back(values):
     assert records.strict_fields(line) == values
 
 
+def test_very_many_surplus_commas_are_no_quoting_fault():
+    reason, detail, _ = records.judge("users", 4, "a," * 5000 + "b")
+    assert reason == "column_count" and len(detail.split(";")) == 4997
+    assert records.judge("users", 4, 'a,"b' + "," * 5000)[0] == "quoting"
+
+
 def test_parse_costs_of_single_faults():
     assert records.cheapest_parse('a,"b,c', 3)[:2] == (1000.0, ["delete_quote@2"])
     assert records.cheapest_parse('a,"b,c', 2)[:2] == (1000.0, ["insert_quote@6"])
