@@ -1,21 +1,24 @@
 """Column profiles per load, and the loads in which a column departs from its ordinary state.
 
 A profile row holds what merges: row, null and violation counts, the range and
-exact power sums of a column in one load. Two profiles of disjoint rows merge
-by adding (``merge_profiles``); only distinct counts need the values.
-
-Power sums are exact integers: values are read on a grid of the column (a
-power of ten that leaves seven digits to its median decade), and the grid's
-integers, their squares, cubes and fourth powers are summed as decimals. Values
-of higher decades are read with seven digits too and summed by decade
-(``beyond``), so no value, however large, coarsens the others. Their result
-doesn't depend on the order of the rows or on how they were split.
+exact power sums of a column in one load. Profiles of disjoint rows, made at
+any time and without knowing of each other, merge by adding
+(``merge_profiles``); only distinct counts and usual values need the values.
+
+Power sums are exact. A number is a whole number ``k`` of a unit that its own
+value sets, never the column: hundredths, if it has no more than two places;
+else the unit of its 17th digit, which every double and text number fits.
+Sums of ``k`` to ``k^4`` are kept by unit, each in limbs to the base 10^18, so
+none can overflow and no value, however large, coarsens another.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +42,13 @@ class Limits:
     value). rate, mean, spread, shape and mix hold for columns that vary; of
     others ``steady`` deviations between loads are enough, from ``part`` of the
     effect on. A value of ``usual`` share is gone below ``gone`` of it.
+
+    Some kinds say nothing of few values and are left to the others there:
+    a fall of distinct counts below ``least_distinct`` expected ones (what
+    vanishes of a small domain shows in its shares), a spread of nothing below
+    ``least_spread`` values, a shape below ``least_shape`` values, and
+    everything in columns of fewer than ``least_loads`` loads, which have no
+    ordinary state.
     """
 
     z: float = 6.0
@@ -53,6 +63,10 @@ class Limits:
     part: float = 0.25
     usual: float = 0.025
     gone: float = 0.2
+    least_distinct: int = 30
+    least_spread: int = 30
+    least_shape: int = 200
+    least_loads: int = 4
 
 
 #: Values of at least this share of a load's filled rows are kept in its profile: 200 at most.
@@ -69,42 +83,45 @@ def column_values(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(load).alias("load_id"), F.explode(F.array(*cols)).alias("x")).groupBy("load_id", F.col("x.c").alias("column_name"), F.col("x.v").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def column_grids(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Exponent of the power of ten of each column's grid; a row per column and decade reaches the driver."""
-    cols = [F.struct(F.lit(c).alias("c"), _decade(_number(df, c)).alias("e")) for c in columns]
-    rows = df.select(F.explode(F.array(*cols)).alias("x")).where("x.e is not null").groupBy("x.c", "x.e").count().collect()
-    out = {}
-    for c in columns:
-        decades = sorted((r["e"], r["count"]) for r in rows if r["c"] == c)
-        half, seen, out[c] = sum(n for _, n in decades) / 2, 0, -2
-        for e, n in decades:
-            seen += n
-            if seen >= half:
-                out[c] = e - 7
-                break
-    return out
-
-
-def _decade(x: Column) -> Column:
-    """The smallest power of ten that isn't below a number's absolute value; null for 0."""
-    a = F.abs(x)
-    return F.when((a > 0) & (a < float("inf")), F.ceil(F.log10(a)).cast("int"))
-
+BASE = 10**18
+#: The limbs of each power sum: ``s3_1`` counts 10^18 cubes of the unit.
+LIMBS = ["s1_0", "s2_0", "s2_1", "s3_0", "s3_1", "s3_2", "s4_0", "s4_1", "s4_2", "s4_3"]
 
-def _number(df: DataFrame, c: str) -> Column:
-    kind = df.schema[c].dataType
-    col = F.col(f"`{c}`")
-    if isinstance(kind, (T.StringType,)):
-        return lenient_double(col)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_seconds(col.cast("timestamp")).cast("double")
-    if isinstance(kind, T.BooleanType):
-        return col.cast("int").cast("double")
-    v = col.cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v) if isinstance(kind, (T.DoubleType, T.FloatType)) else v
 
+def _whole(value: Column, x: Column, exact: Column) -> tuple[Column, Column]:
+    """(k, unit): a number as a whole number k below 10^18 of 10^unit.
 
-def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns: dict[str, str] | None = None, grids: dict[str, int] | None = None) -> DataFrame:
+    ``exact`` has it as a decimal of two places where its type is one of them;
+    else ``value`` (its text) and the double ``x`` are read.
+    """
+    cents = (F.abs(x) < 1e13) & (F.round(x * 100) / 100 == x)
+    digits = F.format_string("%.16e", x)
+    mantissa = F.regexp_replace(F.substring_index(digits, "e", 1), "[.]", "").try_cast("decimal(18,0)")
+    place = F.substring_index(digits, "e", -1).try_cast("int") - 16
+    fixed = F.abs(exact) < F.lit(Decimal(BASE // 100))
+    k = F.when(fixed, (exact * 100).cast("decimal(18,0)")).when(cents, F.round(x * 100).cast("decimal(18,0)")).otherwise(mantissa)
+    return k, F.when(fixed | cents, F.lit(-2)).when(x.isNotNull(), place)
+
+
+def _limbs(k: Column, n: Column) -> dict[str, Column]:
+    """The limbs of n times k, k^2, k^3 and k^4. Each is below 4 * 10^18 for a value, so 10^19 rows can be summed."""
+    base = F.lit(Decimal(BASE))
+
+    def split(x: Column) -> tuple[Column, Column]:
+        x = x.cast("decimal(38,0)")
+        return (x % base).cast("decimal(19,0)"), F.call_function("div", x, base).cast("decimal(19,0)")
+
+    low, high = split(k * k)
+    a0, a1 = split(k.cast("decimal(19,0)") * low)
+    b0, b1 = split(k.cast("decimal(19,0)") * high)
+    c0, c1 = split(low * low)
+    d0, d1 = split(F.lit(Decimal(2)) * low * high)
+    e0, e1 = split(high * high)
+    terms = dict(zip(LIMBS, (k, low, high, a0, a1 + b0, b1, c0, c1 + d0, d1 + e0, e1)))
+    return {c: F.sum((t.cast("decimal(20,0)") * n.cast("decimal(17,0)")).cast("decimal(38,0)")).alias(c) for c, t in terms.items()}
+
+
+def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns: dict[str, str] | None = None) -> DataFrame:
     """A row per load and column: counts, exact distincts, range, violations and power sums.
 
     Values are text, number or time; numbers are read from text where it is
@@ -112,36 +129,35 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns
     non-empty values of a column should match. Columns of nulls have zero
     distincts and null ranges; an empty table gives an empty profile; a null
     load is a load of its own. ``common`` has the values of at least ``COMMON``
-    of a load's rows with their counts. ``grids`` fixes the grid for merging with
-    profiles made earlier.
+    of a load's rows with their counts, ``sums`` the power sums by unit.
+
+    The rows are read once for the values, once more for the load alone.
+    Exact distincts need the exchange of each load's distinct values, combined
+    on the map side. The power sums are made behind it, of each value once, and
+    once more combined on the map side; per load a few numbers are exchanged.
     """
     columns = columns or [c for c in df.columns if c != load]
-    grids = grids or column_grids(df, columns)
     values = column_values(df, load, columns)
     kinds = {c: df.schema[c].dataType for c in columns}
-    times = [c for c in columns if isinstance(kinds[c], (T.TimestampType, T.TimestampNTZType, T.DateType))]
     name, v, n = F.col("column_name"), F.col("value"), F.col("n")
-    num = lenient_double(v)
-    num = F.coalesce(num, F.when(v == "true", F.lit(1.0)).when(v == "false", F.lit(0.0)))
-    if times:
-        num = F.when(name.isin(times), F.unix_seconds(F.try_to_timestamp(v)).cast("double")).otherwise(num)
+
+    def those(*types: type) -> Column:
+        return name.isin([c for c in columns if isinstance(kinds[c], types)])
+
+    num = F.coalesce(lenient_double(v), F.when(those(T.BooleanType), (v == "true").cast("double")))
+    num = F.when(those(T.TimestampType, T.TimestampNTZType, T.DateType), F.unix_seconds(F.try_to_timestamp(v)).cast("double")).otherwise(num)
     num = F.when(F.abs(num) < float("inf"), num)
-    grid = F.element_at(F.create_map(*[x for c, g in grids.items() for x in (F.lit(c), F.lit(g))]), name)
+    places = [c for c in columns if isinstance(kinds[c], T.IntegralType) or isinstance(kinds[c], T.DecimalType) and kinds[c].scale <= 2]
+    exact = F.when(name.isin(places), v.try_cast("decimal(38,2)"))
     bad = F.lit(0)
     for c, p in (patterns or {}).items():
         bad = F.when((name == c) & ~v.rlike(p), n).otherwise(bad)
     totals = df.groupBy(F.col(load).alias("__load")).agg(F.count(F.lit(1)).alias("__rows"))
     values = values.join(F.broadcast(totals), F.col("load_id").eqNullSafe(F.col("__load"))).drop("__load")
-    d = values.withColumn("x", num).withColumn("grid", grid)
-    d = d.withColumn("tier", F.greatest("grid", _decade(F.col("x")) - 7))
-    k = F.round(F.col("x") / F.pow(F.lit(10.0), F.col("tier"))).cast("decimal(12,0)")
-    d = d.withColumn("k", k).withColumn("k2", (F.col("k") * F.col("k")).cast("decimal(20,0)"))
-    m = n.cast("decimal(18,0)")
-
-    def power(e: Column) -> Column:
-        return F.sum(e.try_cast("decimal(38,0)"))
-
-    tiers = d.groupBy("load_id", "column_name", "grid", "tier").agg(
+    d = values.withColumn("x", num)
+    k, unit = _whole(v, F.col("x"), exact)
+    d = d.withColumn("k", k).withColumn("unit", unit)
+    units = d.groupBy("load_id", "column_name", "unit").agg(
         F.sum("n").alias("n_rows"),
         F.sum(F.when(v.isNull(), n).otherwise(0)).alias("n_null"),
         F.count(v).alias("n_distinct"),
@@ -151,68 +167,99 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns
         F.min("x").alias("min_value"),
         F.max("x").alias("max_value"),
         F.sum(F.when(F.col("k").isNotNull(), n).otherwise(0)).alias("s0"),
-        power(F.col("k") * m).alias("s1"),
-        power(F.col("k2") * m).alias("s2"),
-        power((F.col("k2") * F.col("k")).try_cast("decimal(38,0)") * m).alias("s3"),
-        power((F.col("k2") * F.col("k2")).try_cast("decimal(38,0)") * m).alias("s4"),
+        *_limbs(F.col("k"), n).values(),
         F.collect_list(F.when(v.isNotNull() & (n >= COMMON * F.col("__rows")), F.struct(v.alias("value"), n.alias("n")))).alias("common"),
     )
-    own = F.col("tier") == F.col("grid")
-    return tiers.groupBy("load_id", "column_name").agg(
-        *[F.sum(c).alias(c) for c in ("n_rows", "n_null", "n_distinct", "n_violations")],
+    return units.groupBy("load_id", "column_name").agg(
+        *[F.sum(c).alias(c) for c in ("n_rows", "n_null", "n_distinct", "n_violations", "s0")],
         *[F.min(c).alias(c) for c in ("min_text", "min_value")],
         *[F.max(c).alias(c) for c in ("max_text", "max_value")],
-        F.first("grid").alias("grid"),
-        F.sum(F.when(own, F.col("s0")).otherwise(0)).alias("s0"),
-        *[F.sum(F.when(own, F.col(c))).alias(c) for c in ("s1", "s2", "s3", "s4")],
-        F.array_sort(F.collect_list(F.when(~own, F.struct(F.col("tier").alias("grid"), *POWERS)))).alias("beyond"),
+        F.array_sort(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("unit", "s0", *LIMBS)))).alias("sums"),
         F.array_sort(F.flatten(F.collect_list("common"))).alias("common"),
     )
 
 
-POWERS = ["s0", "s1", "s2", "s3", "s4"]
-SUMS = ["n_rows", "n_null", "n_violations", "s0", "s1", "s2", "s3", "s4"]
+SUMS = ["n_rows", "n_null", "n_violations", "s0"]
 
 
 def merge_profiles(*profiles: DataFrame) -> DataFrame:
-    """Profiles of disjoint rows on the same grids as one; distinct counts and common values can't be merged and come out null."""
+    """Profiles of disjoint rows as one; distinct counts and common values can't be merged and come out null."""
     out = profiles[0]
     for p in profiles[1:]:
         out = out.unionByName(p)
-    out = out.groupBy("load_id", "column_name", "grid").agg(*[F.sum(c).alias(c) for c in SUMS], F.flatten(F.collect_list("beyond")).alias("beyond"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text"), F.lit(None).cast("long").alias("n_distinct"), F.lit(None).cast("array<struct<value:string,n:bigint>>").alias("common"))
+    # a row per unit; what a profile has once counts at its first unit only
+    out = out.select("*", F.posexplode_outer("sums").alias("__i", "__s")).withColumn("__i", F.coalesce("__i", F.lit(0)) == 0)
+    once = [F.sum(F.when(F.col("__i"), F.col(c)).otherwise(0)).alias(c) for c in SUMS]
+    ranges = [*[F.min(c).alias(c) for c in ("min_text", "min_value")], *[F.max(c).alias(c) for c in ("max_text", "max_value")]]
+    units = out.groupBy("load_id", "column_name", F.col("__s.unit").alias("unit")).agg(*once, F.sum("__s.s0").alias("__s0"), *ranges, *[F.sum(f"__s.{c}").alias(c) for c in LIMBS])
+    sums = F.array_sort(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("unit", F.col("__s0").alias("s0"), *LIMBS)))).alias("sums")
+    merged = units.groupBy("load_id", "column_name").agg(*[F.sum(c).alias(c) for c in SUMS], *ranges, sums)
+    return merged.withColumns({"n_distinct": F.lit(None).cast("long"), "common": F.lit(None).cast("array<struct<value:string,n:bigint>>")})
+
+
+def _totals(sums: list[dict]) -> list[Fraction]:
+    """The exact power sums 0 to 4 of the numbers of a row's ``sums``."""
+    out = [Fraction(0)] * 5
+    for x in sums:
+        unit = Fraction(10) ** int(x["unit"])
+        out[0] += int(x["s0"])
+        for c in LIMBS:
+            power, limb = int(c[1]), int(c[3])
+            out[power] += int(x[c]) * BASE**limb * unit**power
+    return out
+
+
+def _plain(x: Fraction) -> str:
+    """A fraction of a power of ten as decimal text."""
+    places = 0
+    while x.denominator > 1:
+        x, places = x * 10, places + 1
+    digits = str(abs(x.numerator)).rjust(places + 1, "0")
+    return "-" * (x < 0) + (f"{digits[:-places]}.{digits[-places:]}" if places else digits)
+
+
+def _root(x: Fraction) -> float:
+    """The square root of a fraction that may lie beyond any double."""
+    with localcontext(prec=40):
+        return float((Decimal(x.numerator) / Decimal(x.denominator)).sqrt())
 
-    def total(grid: Column, c: str) -> Column:
-        kind = "long" if c == "s0" else "decimal(38,0)"
-        return F.aggregate(F.filter("beyond", lambda x: x["grid"] == grid), F.lit(0).cast(kind), lambda a, x: (a + x[c]).cast(kind)).alias(c)
 
-    grids = F.array_sort(F.array_distinct(F.transform("beyond", lambda x: x["grid"])))
-    return out.withColumn("beyond", F.transform(grids, lambda g: F.struct(g.alias("grid"), *[total(g, c) for c in POWERS])))
+def power_sums(p: DataFrame) -> DataFrame:
+    """Adds s1 to s4, the exact sums of the numbers and of their powers, as decimal text; null where there are none."""
+
+    @F.pandas_udf("s1 string, s2 string, s3 string, s4 string")
+    def text(sums: pd.Series) -> pd.DataFrame:
+        rows = [[_plain(s) for s in _totals(x)[1:]] if x is not None and len(x) else [None] * 4 for x in sums]
+        return pd.DataFrame(rows, columns=["s1", "s2", "s3", "s4"])
+
+    return p.withColumn("__t", text("sums")).withColumns({f"s{i}": F.col(f"__t.s{i}") for i in range(1, 5)}).drop("__t")
 
 
 def moments(p: DataFrame) -> DataFrame:
-    """Adds mean, standard deviation and standardised third and fourth moments, from the power sums; ``s0`` comes out as the count of all."""
-    # all decades in units of the highest, as a fourth power may lie beyond any double
-    top = F.greatest("grid", F.array_max(F.transform("beyond", lambda x: x["grid"])))
-
-    def total(i: int) -> Column:
-        low = F.coalesce(F.col(f"s{i}").cast("double"), F.lit(0.0)) * F.pow(F.lit(10.0), i * (F.col("grid") - F.col("__top")))
-        return F.aggregate("beyond", low, lambda a, x: a + x[f"s{i}"].cast("double") * F.pow(F.lit(10.0), i * (x["grid"] - F.col("__top"))))
-
-    p = p.withColumn("__top", top)
-    p = p.withColumns({"s0": F.aggregate("beyond", F.col("s0"), lambda a, x: a + x["s0"]), **{f"__s{i}": total(i) for i in (1, 2, 3, 4)}})
-    n, unit = F.col("s0").cast("double"), F.pow(F.lit(10.0), F.col("__top"))
-    r = {i: F.col(f"__s{i}") / n for i in (1, 2, 3, 4)}
-    some = F.col("s0") > 0
-    # the variance from sums of exact integers: n s2 - s1^2
-    var = F.greatest((F.col("__s2") - F.col("__s1") * r[1]) / n, F.lit(0.0))
-    p = p.withColumn("__m", F.when(some, r[1])).withColumn("__v", F.when(some, var))
-    m, v = F.col("__m"), F.col("__v")
-    third = r[3] - 3 * m * r[2] + 2 * m * m * m
-    fourth = r[4] - 4 * m * r[3] + 6 * m * m * r[2] - 3 * m * m * m * m
-    flat = v <= 0
-    p = p.withColumn("mean", m * unit).withColumn("sd", F.sqrt(v) * unit)
-    p = p.withColumn("skew", F.when(some & ~flat, third / F.pow(v, F.lit(1.5)))).withColumn("kurt", F.when(some & ~flat, fourth / (v * v)))
-    return p.drop("__m", "__v", "__top", "__s1", "__s2", "__s3", "__s4")
+    """Adds mean, standard deviation and standardised third and fourth moments, from the power sums.
+
+    They are exact up to the last rounding, whatever the distance of the
+    numbers from zero: whole numbers of any size are reckoned with, of one row
+    per load and column.
+    """
+
+    @F.pandas_udf("mean double, sd double, skew double, kurt double")
+    def central(sums: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in sums:
+            n, *s = _totals(x if x is not None else [])
+            if not n:
+                rows.append([None] * 4)
+                continue
+            m = s[0] / n
+            var = s[1] / n - m * m
+            third = s[2] / n - 3 * m * s[1] / n + 2 * m**3
+            fourth = s[3] / n - 4 * m * s[2] / n + 6 * m * m * s[1] / n - 3 * m**4
+            skew = _root(third * third / var**3) * (-1 if third < 0 else 1) if var else None
+            rows.append([float(m), _root(var), skew, float(fourth / (var * var)) if var else None])
+        return pd.DataFrame(rows, columns=["mean", "sd", "skew", "kurt"], dtype="float64")
+
+    return p.withColumn("__m", central("sums")).withColumns({c: F.col(f"__m.{c}") for c in ("mean", "sd", "skew", "kurt")}).drop("__m")
 
 
 def _mixes(p: DataFrame, keys: list[str], limits: Limits) -> DataFrame:
@@ -248,7 +295,7 @@ def departures(profiles: DataFrame, limits: Limits = Limits(), by: list[str] | N
     together: ``by=["table_name"]``). Adds a score per kind of departure, the
     boolean ``departs`` and ``reasons``. Medians and median deviations are
     taken over the loads, so a few bad loads don't move them; a column with
-    fewer than four loads has no ordinary state and no departures. Per column
+    fewer than ``least_loads`` loads has no ordinary state and no departures. Per column
     there is one row per load, so the grouped percentiles stay small.
     """
     keys = [*(by or []), "column_name"]
@@ -280,7 +327,7 @@ def departures(profiles: DataFrame, limits: Limits = Limits(), by: list[str] | N
     d0, ratio = F.col("med_n_distinct"), n / F.col("med_n_rows")
     low, high = d0 * F.least(ratio, F.lit(1.0)), d0 * F.greatest(ratio, F.lit(1.0))
     slack = F.lit(limits.distinct) - F.lit(4.0) / F.sqrt(F.greatest(low, F.lit(1.0)))
-    few = (low >= 30) & (F.col("n_distinct") < low * F.greatest(slack, F.lit(0.1)))
+    few = (low >= limits.least_distinct) & (F.col("n_distinct") < low * F.greatest(slack, F.lit(0.1)))
     many = F.col("n_distinct") > high / F.lit(limits.distinct) + 4 * F.sqrt(high) + 2
     p = p.withColumns(
         {
@@ -304,12 +351,12 @@ def departures(profiles: DataFrame, limits: Limits = Limits(), by: list[str] | N
         "null_rate": (F.col("z_null") > clear) & (F.col("dev_null_rate") > least(limits.rate, "null_rate")),
         "pattern": (F.col("z_violation") > clear) & (F.col("dev_violation_rate") > least(limits.rate, "violation_rate")),
         "mean": (F.col("z_mean") > clear) & (F.col("effect_mean") > least(limits.mean, "mean", sd0)),
-        "spread": ((F.col("z_spread") > clear) & (F.col("dev_log_sd") > least(limits.spread, "log_sd"))) | ((F.col("sd") <= 0) & (sd0 > 0) & (size >= 30)),
-        "shape": (F.col("z_shape") > clear) & (F.col("dev_skew") > least(limits.shape, "skew")) & (size >= 200),
+        "spread": ((F.col("z_spread") > clear) & (F.col("dev_log_sd") > least(limits.spread, "log_sd"))) | ((F.col("sd") <= 0) & (sd0 > 0) & (size >= limits.least_spread)),
+        "shape": (F.col("z_shape") > clear) & (F.col("dev_skew") > least(limits.shape, "skew")) & (size >= limits.least_shape),
         "range": F.col("out_of_range") > limits.reach,
         "distinct": few | many,
         "mix": F.col("gone") | ((F.col("z_mix") > clear) & (F.col("mix") > F.col("med_mix")) & (F.col("dev_mix") > least(limits.mix, "mix"))),
     }
     reasons = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]), lambda x: x.isNotNull())
-    p = p.withColumn("reasons", F.when(F.col("loads") >= 4, reasons).otherwise(F.array().cast("array<string>")))
+    p = p.withColumn("reasons", F.when(F.col("loads") >= limits.least_loads, reasons).otherwise(F.array().cast("array<string>")))
     return p.withColumn("departs", F.size("reasons") > 0)

@@ -31,6 +31,13 @@ def profiles(spark: SparkSession, root: str, columns: dict[str, list[str] | None
     return out
 
 
+def profiles_of(spark: SparkSession, root: str, table: str, columns: list[str], part: int) -> DataFrame:
+    """The profile of one half of a table's rows, as two arrivals of a load give it."""
+    half = parquet(spark, root, table)
+    half = half.where(F.pmod(F.xxhash64(*columns), F.lit(2)) == part)
+    return prof.profile(half, "load_id", columns, PATTERNS.get(table)).withColumn("table_name", F.lit(table))
+
+
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Loads in which a watched column departs from its ordinary state."""
     d = prof.departures(written(profiles(spark, root, WATCHED), "profiles"), by=["table_name"])
@@ -44,9 +51,18 @@ def p1_profile(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_moments(spark: SparkSession, root: str) -> DataFrame:
-    """Mean, standard deviation and shape of every watched column per load, from the power sums."""
+    """Mean, standard deviation and shape of every watched column per load, from the power sums, with seven digits."""
     p = prof.moments(profiles(spark, root, WATCHED))
-    return p.select("table_name", "column_name", "load_id", "s0", "mean", "sd", "skew", "kurt")
+    return p.select("table_name", "column_name", "load_id", "s0", *[F.when(F.col(c).isNotNull() & ~F.isnan(c), F.format_string("%.6e", F.col(c))).alias(c) for c in ("mean", "sd", "skew", "kurt")])
+
+
+def p1_power_sums(spark: SparkSession, root: str) -> DataFrame:
+    """The exact sums of every watched column, its squares and its cubes per load, of profiles made apart and merged."""
+    apart = [profiles_of(spark, root, table, cols, part) for table, cols in WATCHED.items() for part in (0, 1)]
+    merged = prof.merge_profiles(*[p.withColumn("column_name", F.concat_ws(".", "table_name", "column_name")).drop("table_name") for p in apart])
+    p = prof.power_sums(merged)
+    name = F.split("column_name", "[.]")
+    return p.select(name[0].alias("table_name"), name[1].alias("column_name"), "load_id", "n_rows", "n_null", "s0", *[F.col(f"s{i}").cast("decimal(38,6)").cast("string").alias(f"s{i}") for i in (1, 2, 3)])
 
 
 #: The table that each reference names.

@@ -36,14 +36,42 @@ _PROFILED = {
 }
 
 
+def _number(c: str, kind: int) -> str:
+    return (f"CASE WHEN regexp_matches(trim({c}), {_NUM}) THEN CAST(trim({c}) AS DOUBLE) END", f"CAST({c} AS DOUBLE)", f"floor(epoch({c}))")[kind]
+
+
 def _profile(table: str, c: str, kind: int) -> str:
-    number = (f"CASE WHEN regexp_matches(trim({c}), {_NUM}) THEN CAST(trim({c}) AS DOUBLE) END", f"CAST({c} AS DOUBLE)", f"floor(epoch({c}))")[kind]
+    number = _number(c, kind)
     value = f"nullif({c}, '')" if kind == 0 else c
     bad = f"count(*) FILTER ({c} <> '' AND NOT regexp_full_match({c}, '0|[1-9][0-9]*'))" if c == "user_id" else "0"
     return f"SELECT '{table}' AS table_name, '{c}' AS column_name, load_id, count(*) AS n_rows, count(*) - count({value}) AS n_null, count(DISTINCT {value}) AS n_distinct, CAST({bad} AS BIGINT) AS n_violations, min({number}) AS min_value, max({number}) AS max_value FROM {table} GROUP BY load_id"
 
 
+def _moments(table: str, c: str, kind: int) -> str:
+    """Mean, deviation and third and fourth moments of one column per load, about the mean of the load."""
+    number = _number(c, kind)
+    digits = ", ".join(f"CASE WHEN {x} IS NOT NULL THEN printf('%.6e', {x}) END AS {x}" for x in ("mean", "sd", "skew", "kurt"))
+    return f"""SELECT '{table}' AS table_name, '{c}' AS column_name, load_id, s0, {digits} FROM (
+        SELECT load_id, count(x) AS s0, any_value(m) AS mean, sqrt(avg((x - m) ** 2)) AS sd,
+            avg((x - m) ** 3) / nullif(avg((x - m) ** 2) ** 1.5, 0) AS skew, avg((x - m) ** 4) / nullif(avg((x - m) ** 2) ** 2, 0) AS kurt
+        FROM (SELECT load_id, x, avg(x) OVER (PARTITION BY load_id) AS m FROM (SELECT load_id, {number} AS x FROM {table})) GROUP BY load_id)"""
+
+
+def _sums(table: str, c: str, kind: int) -> str:
+    """Exact sums of one column, its squares and cubes per load, as whole numbers of hundredths in 128 bits."""
+    k = f"CAST(round({_number(c, kind)} * 100) AS HUGEINT)" if kind == 0 or c == "profit_sum" else f"CAST({c} * 100 AS HUGEINT)"
+    value = f"nullif({c}, '')" if kind == 0 else c
+    text = ", ".join(f"CASE WHEN s{i} IS NOT NULL THEN CASE WHEN s{i} < 0 THEN '-' ELSE '' END || CAST(abs(s{i}) // {100**i} AS VARCHAR) || '.' || lpad(CAST(abs(s{i}) % {100**i} * {10 ** (6 - 2 * i)} AS VARCHAR), 6, '0') END AS s{i}" for i in (1, 2, 3))
+    return f"""SELECT '{table}' AS table_name, '{c}' AS column_name, load_id, n_rows, n_null, s0, {text} FROM (
+        SELECT load_id, count(*) AS n_rows, count(*) - count(v) AS n_null, count(k) AS s0, sum(k) AS s1, sum(k * k) AS s2, sum(k * k * k) AS s3 FROM (SELECT load_id, {value} AS v, {k} AS k FROM {table}) GROUP BY load_id)"""
+
+
+# The columns whose loads are compared, in the kinds of the profiled tables.
+_WATCHED = {"transactions": (("user_id", 0), ("store_id", 0), ("payment_method_id", 0), ("voucher_id", 0), ("discount_applied", 1), ("final_amount", 1)), "transaction_items": (("quantity", 1),), "q2b_profits": (("profit_sum", 1),)}
+
 SQL = {
+    "p1_moments": " UNION ALL ".join(_moments(t, c, k) for t, cs in _WATCHED.items() for c, k in cs),
+    "p1_power_sums": " UNION ALL ".join(_sums(t, c, k) for t, cs in _WATCHED.items() for c, k in cs),
     "p1_profile": " UNION ALL ".join(_profile(t, c, k) for t, kinds in _PROFILED.items() for k, cs in enumerate(kinds) for c in cs.split()),
     "p2_found": _ORPHANS + "SELECT DISTINCT table_name, record_id, strftime(t, '%Y-%m') AS period FROM orphan",
     "p2_report": _ORPHANS + "SELECT table_name, strftime(t, '%Y-%m') AS period, count(*) AS orphan_rows, count(DISTINCT k) AS orphan_keys FROM orphan GROUP BY 1, 2",

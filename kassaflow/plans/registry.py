@@ -163,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": quality.p1_found,
     "p1_profile": quality.p1_profile,
     "p1_moments": quality.p1_moments,
+    "p1_power_sums": quality.p1_power_sums,
     "p2_found": quality.p2_found,
     "p2_report": quality.p2_report,
     "p3_found": quality.p3_found,
