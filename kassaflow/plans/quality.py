@@ -126,7 +126,7 @@ def message_batches(spark: SparkSession, root: str, share: float = 0.8) -> list[
     m = parquet(spark, root, "receiver_messages")
     low, high = m.agg(F.min("delivery_id"), F.max("delivery_id")).first()
     if low is None:
-        return [m]
+        return [m, m]
     cut = low + int((high - low) * share)
     return [m.where(F.col("delivery_id") <= cut), m.where(F.col("delivery_id") > cut)]
 
@@ -144,6 +144,17 @@ def p3_kept(spark: SparkSession, root: str) -> DataFrame:
     return store.read().select("delivery_id", "request_id", "data_type", "position", "payload")
 
 
+def p3_replayed(spark: SparkSession, root: str) -> DataFrame:
+    """The store after three batches, of which the second comes again twice, without its number and with it."""
+    a, b = message_batches(spark, root, 0.5)
+    c, b = b.where("delivery_id % 2 = 0"), b.where("delivery_id % 2 <> 0")
+    store = message_store(spark, scratch_path(spark, "messages"))
+    first_deliveries(store, [a, b])
+    store.upsert(b)
+    first_deliveries(store, [b, c], 1)
+    return store.read().select("delivery_id", "request_id", "data_type", "position", "payload")
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """The three best buyers of each request and store."""
     c = parquet(spark, root, "q4_candidates")

@@ -168,6 +168,7 @@ QUERIES: dict[str, Query] = {
     "p2_report": quality.p2_report,
     "p3_found": quality.p3_found,
     "p3_kept": quality.p3_kept,
+    "p3_replayed": quality.p3_replayed,
     "p4_found": quality.p4_found,
     "p5_found": quality.p5_found,
     "p5_loaded": quality.p5_loaded,
@@ -250,6 +251,7 @@ SQL: dict[str, str] = {
     "stream_monthly_items": f"SELECT {_MONTH} AS year_month_created_at, item_id, CAST(sum(quantity) AS BIGINT) AS sellings_qty, CAST(sum(subtotal) AS DOUBLE) AS profit_sum FROM ({_IT}) GROUP BY 1, 2",
     "stream_first_deliveries": QUALITY_SQL["p3_found"],
 } | QUALITY_SQL
+SQL["p3_replayed"] = SQL["p3_kept"]
 SQL["q3_from_csv"] = SQL["q3_half_year_volumes"]
 
 
