@@ -8,8 +8,9 @@ file once. Nothing is shuffled.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -53,6 +54,13 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+def _lists(ids: Iterable[list[int]]) -> pa.ListArray:
+    """Lists of ids as one array of offsets and one of values; a list is let go once it is copied."""
+    parts = [np.array(x, np.int32) for x in ids]
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+
+
 def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = BYTE_BPE) -> DataFrame:
     """(doc_id, ids): the token ids of each text, without special tokens.
 
@@ -65,8 +73,7 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
         t = load(path)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            ids = [e.ids for part in _chunks(texts) for e in t.encode_batch_fast(part, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [doc_id, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(e.ids for part in _chunks(texts) for e in t.encode_batch_fast(part, add_special_tokens=False))], [doc_id, "ids"])
 
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, ids array<int>")
@@ -124,6 +131,14 @@ def encode_with_offsets(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, ids array<int>, byte_start array<int>, char_start array<int>, char_end array<int>")
 
 
+def _text(data: bytes) -> tuple[str, int]:
+    """The text of bytes, U+FFFD for each incomplete character, and the number of bytes of those."""
+    try:
+        return data.decode("utf-8"), 0
+    except UnicodeDecodeError:
+        return data.decode("utf-8", "replace"), len(data) - len(data.decode("utf-8", "ignore").encode("utf-8"))
+
+
 def decode(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str = BYTE_BPE) -> DataFrame:
     """(doc_id, text, broken): ids back to text by the reversed byte table.
 
@@ -138,14 +153,34 @@ def decode(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str =
         for b in batches:
             texts, broken = [], []
             for x in b.column(1).to_pylist():
-                data = b"".join(raw[i] for i in x or [])
-                try:
-                    texts.append(data.decode("utf-8"))
-                    broken.append(0)
-                except UnicodeDecodeError:
-                    texts.append(data.decode("utf-8", "replace"))
-                    broken.append(len(data) - len(data.decode("utf-8", "ignore").encode("utf-8")))
+                back, bad = _text(b"".join(raw[i] for i in x or []))
+                texts.append(back)
+                broken.append(bad)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(broken, pa.int32())], [doc_id, "text", "broken"])
 
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(doc_id, ids).mapInArrow(run, f"`{doc_id}` {kind}, text string, broken int")
+
+
+def round_trip(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = BYTE_BPE) -> DataFrame:
+    """(doc_id, n_tokens, broken, same): each text encoded, decoded again and compared, in one pass.
+
+    Null texts count as empty ones, which have no tokens and are the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = load(path)
+        raw = token_bytes(t)
+        for b in batches:
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            n, broken, same = [], [], []
+            for part in _chunks(texts):
+                for x, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)):
+                    back, bad = _text(b"".join(map(raw.__getitem__, e.ids)))
+                    n.append(len(e.ids))
+                    broken.append(bad)
+                    same.append(back == x)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(broken, pa.int32()), pa.array(same, pa.bool_())], [doc_id, "n_tokens", "broken", "same"])
+
+    kind = df.schema[doc_id].dataType.simpleString()
+    return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens int, broken int, same boolean")

@@ -21,16 +21,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import rows_with_keys
 from ..session import written
-from .looks import CYRILLIC, GREEK, SPACES, shape, skeleton
+from .looks import CYRILLIC, GREEK, LATIN, MARKS, SPACES, ignorable, shape, skeleton
 
 #: Suspects and their part of the vocabulary that one trie is meant to hold.
 TRIE_TOKENS = 20_000
 #: A token in at least 1/HOT_SHARE of all suspect places is hot: there are at most HOT_SHARE such tokens.
 HOT_SHARE = 1000
+#: Tasks over which the documents of a hot text are spread.
+SALTS = 32
 _SEPARATORS = re.compile(r"(\s+)")
 _PLAIN_SPACES = str.maketrans(dict.fromkeys(SPACES, " "))
 
@@ -54,6 +57,16 @@ def _inverse(table: dict[str, str]) -> dict[str, str]:
     return out
 
 
+def _alike() -> dict[str, str]:
+    out: dict[str, str] = {}
+    for table in (CYRILLIC, GREEK, LATIN, MARKS):
+        for c, plain in table.items():
+            out[plain] = out.get(plain, plain) + c
+    return out
+
+
+#: The characters of plain spellings that look like each shape, itself included.
+ALIKE = _alike()
 _BACK = {"cyrillic": _inverse(CYRILLIC), "greek": _inverse(GREEK)}
 _AMBIGUOUS = {latin for back in _BACK.values() for latin in back}
 
@@ -83,14 +96,14 @@ def is_suspect(token: str) -> bool:
 
 
 class Trie:
-    """Spellings by their shapes. A node is a dict; the spellings that end at it stand at the key ''."""
+    """Spellings by their characters, decomposed. A node is a dict; the spellings that end at it stand at the key ''."""
 
     def __init__(self) -> None:
         self.root: dict = {}
 
     def add(self, spelling: str, count: int) -> None:
         node = self.root
-        for c in spelling_shapes(spelling):
+        for c in spelling if spelling.isascii() else unicodedata.normalize("NFD", spelling):
             node = node.setdefault(c, {})
         node.setdefault("", []).append((spelling, count))
 
@@ -98,9 +111,10 @@ class Trie:
         """(cost, spelling, count) of all spellings within ``most`` of a token.
 
         The automaton's states are pairs of a node and the least cost of
-        reaching it. A character that looks like the edge's moves along it for
-        nothing, an unseen one stays for nothing; a visible one may be
-        replaced, left out, or one put in, at their costs.
+        reaching it. A character goes along every edge that looks like it for
+        nothing, and an unseen one stays for nothing; a visible one may be
+        replaced, left out, or one put in, at their costs. Canonical spellings
+        are those at no cost, as any visible difference counts.
         """
 
         def close(states: dict[int, tuple[float, dict]]) -> dict[int, tuple[float, dict]]:
@@ -115,27 +129,36 @@ class Trie:
             return states
 
         states = close({id(self.root): (0.0, self.root)})
-        for unit in spelling_shapes(token):
-            nxt: dict[int, tuple[float, dict]] = {}
-
-            def put(cost: float, node: dict) -> None:
-                if cost <= most and (id(node) not in nxt or cost < nxt[id(node)][0]):
-                    nxt[id(node)] = (cost, node)
-
-            for cost, node in states.values():
-                if (same := node.get(unit)) is not None:
-                    put(cost, same)
-                if most:
-                    put(cost + delete, node)
-                    for c, other in node.items():
-                        if c and c != unit:
-                            put(cost + substitute, other)
-            states = close(nxt) if most else nxt
-            if not states:
-                return []
+        for c in visible(token):
+            for unit in shape(c):
+                nxt: dict[int, tuple[float, dict]] = {}
+
+                def put(cost: float, node: dict) -> None:
+                    if cost <= most and (id(node) not in nxt or cost < nxt[id(node)][0]):
+                        nxt[id(node)] = (cost, node)
+
+                for cost, node in states.values():
+                    for edge in ALIKE.get(unit, unit):
+                        if (same := node.get(edge)) is not None:
+                            put(cost, same)
+                    if most:
+                        put(cost + delete, node)
+                        for edge, other in node.items():
+                            if edge:
+                                put(cost + substitute, other)
+                states = close(nxt) if most else nxt
+                if not states:
+                    return []
         return sorted((cost, s, n) for cost, node in states.values() for s, n in node.get("", ()))
 
 
+def visible(token: str) -> str:
+    """The characters that are drawn, decomposed, marks in canonical order."""
+    if token.isascii():
+        return token
+    return unicodedata.normalize("NFD", "".join(c for c in unicodedata.normalize("NFD", token) if not ignorable(c)))
+
+
 def spelling_shapes(token: str) -> str:
     """What the automaton reads: the shapes of a token's characters; unseen ones have none."""
     if token.isascii():
@@ -279,28 +302,69 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return own.join(new, "doc_id", "left").select("doc_id", "exact", F.coalesce("new", "same").alias("canon"))
 
 
+def _spread(members: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """Members (doc_id, exact) with a salt: those of hot texts (exact, n), at most ``HOT_SHARE`` by arithmetic, take one of ``SALTS``."""
+    hot = texts.where(F.col("n") >= max(2.0, total / HOT_SHARE)).select("exact", F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")
+    return members.join(F.broadcast(hot), "exact", "left").withColumn("salt", salt).drop("hot")
+
+
+def _salts(total: int) -> Column:
+    """A row per salt that members of a text with n documents have."""
+    return F.explode(F.when(F.col("n") >= max(2.0, total / HOT_SHARE), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(prints, texts): fingerprints, and (canon, exact, n, first) of each different text."""
+    prints = written(fingerprints(docs, doc_id, text), "fingerprints")
+    return prints, written(prints.groupBy("canon", "exact").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")), "texts")
+
+
 def same_looks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b), smaller first: documents that look the same but differ in code points.
 
     Documents with one text are grouped first, so copies meet only as members
     of different texts: a text that a third of all documents share makes no
-    pairs with itself. A doc_id is unique; null and empty texts make no pairs.
+    pairs with itself, and its members are spread over many tasks where they
+    meet those of others. A doc_id is unique; null and empty texts make no
+    pairs. Every pair comes out; ``class_links`` and ``class_members`` have the
+    same in a row per text and per document.
     """
-    prints = written(fingerprints(docs, doc_id, text), "fingerprints")
-    texts = prints.groupBy("canon", "exact").agg(F.count(F.lit(1)).alias("n"))
-    several = texts.groupBy("canon").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > 1).select("canon")
-    texts = written(texts.join(several, "canon", "left_semi").select("canon", "exact"), "texts")
-    members = written(prints.join(several, "canon", "left_semi").select("doc_id", "exact"), "members")
-    a, b = texts.select("canon", F.col("exact").alias("a")), texts.select("canon", F.col("exact").alias("b"))
-    pairs = a.join(b, "canon").where(F.col("a") < F.col("b")).select("a", "b")
-    left = members.select(F.col("doc_id").alias("x"), F.col("exact").alias("a"))
-    right = members.select(F.col("doc_id").alias("y"), F.col("exact").alias("b"))
-    both = pairs.join(left, "a").join(right, "b")
+    prints, texts = _texts(docs, doc_id, text)
+    several = written(texts.groupBy("canon").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).where(F.col("texts") > 1), "several")
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    some = written(rows_with_keys(texts, several, "canon", "n", total).select("canon", "exact", "n"), "different")
+    members = written(rows_with_keys(prints, several, "canon", "n", total).select("doc_id", "exact"), "members")
+    a, b = some.select("canon", F.col("exact").alias("a"), F.col("n").alias("n_a")), some.select("canon", F.col("exact").alias("b"), F.col("n").alias("n_b"))
+    pairs = a.join(b, "canon").where(F.col("a") < F.col("b"))
+    spread = _spread(members, some, total)
+    left = pairs.select(F.col("a").alias("exact"), F.col("n_a").alias("n"), "b", "n_b").select("*", _salts(total))
+    half = left.join(spread.withColumnRenamed("doc_id", "x"), ["exact", "salt"]).select("x", F.col("b").alias("exact"), F.col("n_b").alias("n"))
+    both = half.select("*", _salts(total)).join(spread.withColumnRenamed("doc_id", "y"), ["exact", "salt"])
     return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
+def _classes(texts: DataFrame) -> DataFrame:
+    """(exact, n, exact_id, class_id, links) of each different text."""
+    classes = texts.groupBy("canon").agg(F.min("first").alias("class_id"), F.sum("n").alias("all"))
+    return texts.join(classes, "canon").select("exact", "n", F.col("first").alias("exact_id"), "class_id", (F.col("all") - F.col("n")).alias("links"))
+
+
 def class_members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id): one row per non-empty document; the class of all that look the same is its smallest doc_id."""
-    prints = written(fingerprints(docs, doc_id, text), "fingerprints")
-    firsts = prints.groupBy("canon").agg(F.min("doc_id").alias("class_id"))
-    return prints.join(firsts, "canon").select("doc_id", "class_id")
+    """(doc_id, class_id, exact_id, copies, links): one row per non-empty document.
+
+    ``class_id`` is the smallest doc_id of all that look the same, ``exact_id``
+    the smallest with this very text, ``copies`` the documents with this text
+    and ``links`` those that look the same but differ in code points: documents
+    of one class with different exact_ids are the pairs of ``same_looks``.
+    """
+    prints, texts = _texts(docs, doc_id, text)
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    spread = _spread(prints.select("doc_id", "exact"), texts, total)
+    return spread.join(_classes(texts).select("*", _salts(total)), ["exact", "salt"]).select("doc_id", "class_id", "exact_id", F.col("n").alias("copies"), "links")
+
+
+def class_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id_a, doc_id_b): the class's representative and the first document of each other text of the class."""
+    _, texts = _texts(docs, doc_id, text)
+    return _classes(texts).where(F.col("class_id") != F.col("exact_id")).select(F.col("class_id").alias("doc_id_a"), F.col("exact_id").alias("doc_id_b"))

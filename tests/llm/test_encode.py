@@ -27,6 +27,13 @@ def test_round_trip(docs):
     assert back == {i: (x or "", 0) for i, x in enumerate(TEXTS)}
 
 
+def test_round_trip_in_one_pass(docs):
+    t = encode.load(encode.BYTE_BPE)
+    got = {r.doc_id: (r.n_tokens, r.broken, r.same) for r in encode.round_trip(docs).collect()}
+    assert got == {i: (len(t.encode(x or "", add_special_tokens=False).ids), 0, True) for i, x in enumerate(TEXTS)}
+    assert encode.round_trip(docs.limit(0)).count() == 0
+
+
 def test_offsets_cover_the_text_and_split_characters(docs):
     for r in encode.encode_with_offsets(docs).collect():
         text = TEXTS[r.doc_id] or ""

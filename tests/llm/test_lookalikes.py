@@ -52,8 +52,22 @@ def test_random_disguises_and_hot_texts(spark):
 
 def test_classes_and_empty_table(spark):
     df = spark.createDataFrame([(5, "abc"), (3, "аbc"), (1, "abd"), (9, None), (8, "abc")], "doc_id long, text string")
-    assert sorted(map(tuple, L.class_members(df).collect())) == [(1, 1), (3, 3), (5, 3), (8, 3)]
-    assert L.same_looks(df.limit(0)).count() == 0 and L.class_members(df.limit(0)).count() == 0
+    want = [(1, 1, 1, 1, 0), (3, 3, 3, 1, 2), (5, 3, 5, 2, 1), (8, 3, 5, 2, 1)]
+    assert sorted((r.doc_id, r.class_id, r.exact_id, r.copies, r.links) for r in L.class_members(df).collect()) == want
+    assert [(r.doc_id_a, r.doc_id_b) for r in L.class_links(df).collect()] == [(3, 5)]
+    assert L.same_looks(df.limit(0)).count() == 0 and L.class_members(df.limit(0)).count() == 0 and L.class_links(df.limit(0)).count() == 0
+
+
+def test_a_third_of_the_documents_in_one_class(spark, monkeypatch):
+    monkeypatch.setattr(L, "HOT_SHARE", 20)
+    texts = ["the same text"] * 150 + ["the ѕame text"] * 40 + ["the same tex\u200bt", "other", "οther"] + [f"text {i}" for i in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pairs_ = sorted(map(tuple, L.same_looks(df).collect()))
+    assert pairs_ == brute(texts) and len(pairs_) == 150 * 40 + 150 + 40 + 1
+    rows = {r.doc_id: r for r in L.class_members(df).collect()}
+    assert len(rows) == len(texts) and sum(r.links for r in rows.values()) == 2 * len(pairs_)
+    assert sorted((a, b) for a in rows for b in rows if a < b and rows[a].class_id == rows[b].class_id and rows[a].exact_id != rows[b].exact_id) == pairs_
+    assert sorted(map(tuple, L.class_links(df).collect())) == [(0, 150), (0, 190), (191, 192)]
 
 
 def test_canonical_texts_keep_the_script(spark):
