@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: What Python's float() reads and an integer conversion then accepts.
 NUMERIC = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
@@ -59,7 +60,9 @@ def canonical_id(c: Column | str) -> Column:
 
 def folded_name(c: Column | str) -> Column:
     """Trimmed, whitespace runs as one space, lower case; null if nothing is left."""
-    return F.nullif(F.lower(F.trim(F.regexp_replace(_c(c), _SPACE, " "))), F.lit(""))
+    # one kind of space first; only names with runs of it meet a regular expression
+    one = F.translate(_c(c), _SPACES, " " * len(_SPACES))
+    return F.nullif(F.lower(F.trim(F.when(F.contains(one, F.lit("  ")), F.regexp_replace(one, " {2,}", " ")).otherwise(one))), F.lit(""))
 
 
 def money(c: Column | str) -> Column:
@@ -72,8 +75,10 @@ def round_half_up(c: Column | str, places: int = 2) -> Column:
 
 
 def fixed_places(c: Column | str, places: int = 2) -> Column:
-    """Text with a fixed number of places; null stays null."""
-    return F.when(_c(c).isNotNull(), F.format_string(f"%.{places}f", _c(c).cast("double")))
+    """Text with a fixed number of places, rounded half up; null stays null. Decimals and integers stay exact."""
+    # a decimal takes the places as a decimal; NaN and numbers beyond 36 digits can't be one
+    exact = F.round(_c(c), places).try_cast(f"decimal(38,{places})").cast("string")
+    return F.when(_c(c).isNotNull(), F.coalesce(exact, F.format_string(f"%.{places}f", _c(c).try_cast("double"))))
 
 
 def name_or_key(name: Column | str, key: Column | str) -> Column:

@@ -23,21 +23,24 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column | str]) -> Da
 def dense_positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """Consecutive numbers from 1 in the order of ``order``, without a global sort task.
 
-    Rows are range-partitioned and sorted; each partition adds the number of
-    rows before it. Only the counts per partition reach the driver.
+    Rows are range-partitioned and sorted once. A row's place in its partition
+    is the low part of ``monotonically_increasing_id``; to it comes the number
+    of rows of the partitions before. Only the counts per partition reach the
+    driver. Rows with equal keys fall into one range; their order among each
+    other is arbitrary.
     """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    p, i = free_name(df.columns, "__p"), free_name(df.columns, "__i")
-    ranged = df.repartitionByRange(int(parts), *[F.col(c) for c in order]).withColumn(p, F.spark_partition_id())
-    numbered = written(ranged.withColumn(i, F.row_number().over(Window.partitionBy(p).orderBy(*order))), "positions")
-    counts = sorted((r[0], r[1]) for r in numbered.groupBy(p).agg(F.count(F.lit(1))).collect())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    i = free_name(df.columns, "__i")
+    ranged = df.repartitionByRange(parts, *[F.col(c) for c in order]).sortWithinPartitions(*order)
+    numbered = written(ranged.withColumn(i, F.monotonically_increasing_id()), "positions")
+    counts = sorted((r[0], r[1]) for r in numbered.groupBy(F.shiftright(i, 33).alias("p")).agg(F.count(F.lit(1))).collect())
     before, total = {}, 0
     for part, n in counts:
         before[part], total = total, total + n
     if not before:
-        return numbered.drop(p, i).withColumn(name, F.lit(None).cast("long"))
-    offset = F.element_at(F.create_map(*[F.lit(int(x)).cast("long") for kv in before.items() for x in kv]), F.col(p).cast("long"))
-    return numbered.withColumn(name, (offset + F.col(i)).cast("long")).drop(*{p, i} - {name})
+        return numbered.drop(i).withColumn(name, F.lit(None).cast("long"))
+    offset = F.element_at(F.create_map(*[F.lit(int(x)).cast("long") for kv in before.items() for x in kv]), F.shiftright(i, 33))
+    return numbered.withColumn(name, offset + F.col(i).bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop(*{i} - {name})
 
 
 def split_requests(df: DataFrame, order: list[str], requests: int = 2, name: str = "request_id") -> DataFrame:

@@ -20,14 +20,19 @@ def unique_keys(dim: DataFrame, key: str, value: str, last_by: list[Column] | No
     return rows.groupBy(key).agg(F.max(order).alias("__o")).select(key, F.col(f"__o.{value}").alias(value))
 
 
-def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, last_by: list[Column] | None = None, keep_key: bool = False) -> DataFrame:
+def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, last_by: list[Column] | None = None, keep_key: bool = False, few: bool = False) -> DataFrame:
     """Left join with a dimension; where it has no name, the key stands in for it.
 
-    Repeated dimension keys don't multiply rows. The dimension is broadcast
-    only if its size is below Spark's threshold, which adaptive execution
-    checks at run time; else both sides are shuffled. A null key gives null.
+    Repeated dimension keys don't multiply rows. With ``few`` the dimension is
+    cut to the keys that ``df`` has before anything else is done with it; ``df``
+    is then computed twice but for its shared exchanges, so it should be small
+    against the dimension. Either side is broadcast only if its size is below
+    Spark's threshold, which adaptive execution checks at run time; else both
+    are shuffled. A null key gives null.
     """
     k, v = free_name(df.columns, "__k"), free_name(df.columns, "__v")
+    if few:
+        dim = dim.join(df.select(F.col(key).alias(k)).distinct(), F.col(key) == F.col(k), "left_semi")
     d = unique_keys(dim, key, value, last_by).select(F.col(key).alias(k), F.col(value).alias(v))
     out = df.join(d, F.col(key) == F.col(k), "left").withColumn(value, name_or_key(v, F.col(key).cast("string"))).drop(k, v)
     return out if keep_key else out.drop(key)
@@ -42,7 +47,7 @@ def lookup_stores(totals: DataFrame, stores: DataFrame) -> DataFrame:
 
 
 def lookup_stores_users(tops: DataFrame, stores: DataFrame, users: DataFrame) -> DataFrame:
-    return lookup(lookup(tops, stores, "store_id", "store_name"), users, "user_id", "birthdate")
+    return lookup(lookup(tops, stores, "store_id", "store_name"), users, "user_id", "birthdate", few=True)
 
 
 LOOKUPS = {"q2": lookup_items, "q3": lookup_stores, "q4": lookup_stores_users}

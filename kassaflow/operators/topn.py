@@ -23,14 +23,18 @@ def top_n(df: DataFrame, groups: list[str], metric: str, n: int, ties: list[Colu
 
 
 def top_n_metrics(df: DataFrame, groups: list[str], metrics: dict[str, str], n: int, ties: list[Column | str], tag: str = "metric") -> DataFrame:
-    """Top N for several metrics in one pass: long form, a row per metric, tagged.
+    """Top N for several metrics: long form, a row per metric, tagged.
 
-    ``metrics`` maps column names to tags.
+    ``metrics`` maps column names to tags. Each metric is ranked in its own
+    type, so exact sums of any length neither tie nor swap; its ranking cuts
+    every map task to ``n`` rows per group, and the input's totals are computed
+    once, as their exchange is shared.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(c).cast("double").alias("v")) for c, t in metrics.items()]))
-    m, v = free_name(df.columns, "__m"), free_name(df.columns, "__v")
-    long = df.withColumn(m, pairs).withColumn(tag, F.col(f"{m}.t")).withColumn(v, F.col(f"{m}.v")).drop(m)
-    return top_n(long, [*groups, tag], v, n, ties).drop(v)
+    parts = [top_n(df, groups, c, n, ties).withColumn(tag, F.lit(t)) for c, t in metrics.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def sorted_by(df: DataFrame, *columns: str) -> DataFrame:

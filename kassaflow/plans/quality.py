@@ -1,4 +1,4 @@
-"""Data quality of the project's tables: profiles, references, redelivery, bands, records."""
+"""Data quality of the project's tables: profiles, references, redelivery, records."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from ..functions.keys import folded_name, month_key, whole_number_text
 from ..operators import profile as prof
 from ..operators import records
 from ..operators import references as refs
-from ..operators.bands import top_n_by_bands
 from ..operators.redelivery import MessageStore, first_deliveries
 from ..session import scratch_path, written
 from ..sources.readers import parquet, union_all
@@ -155,14 +154,6 @@ def p3_replayed(spark: SparkSession, root: str) -> DataFrame:
     return store.read().select("delivery_id", "request_id", "data_type", "position", "payload")
 
 
-def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    """The three best buyers of each request and store."""
-    c = parquet(spark, root, "q4_candidates")
-    rows = c.select("request_id", folded_name("store_name").alias("store"), "candidate_id", "purchases_qty", F.nullif("birthdate", F.lit("")).alias("birthdate"))
-    top = top_n_by_bands(rows, ["request_id", "store"], "purchases_qty", [F.asc_nulls_last("birthdate"), F.asc("candidate_id")], 3)
-    return top.select("request_id", "candidate_id")
-
-
 def p5_parsed(spark: SparkSession, root: str) -> DataFrame:
     return records.parse_records(parquet(spark, root, "raw_rows"))
 

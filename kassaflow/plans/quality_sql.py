@@ -69,7 +69,47 @@ def _sums(table: str, c: str, kind: int) -> str:
 # The columns whose loads are compared, in the kinds of the profiled tables.
 _WATCHED = {"transactions": (("user_id", 0), ("store_id", 0), ("payment_method_id", 0), ("voucher_id", 0), ("discount_applied", 1), ("final_amount", 1)), "transaction_items": (("quantity", 1),), "q2b_profits": (("profit_sum", 1),)}
 
+# The columns of delimited records, in order, and what their values hold.
+_RECORDS = {
+    "transactions": "transaction_id store_id payment_method_id voucher_id user_id original_amount discount_applied final_amount created_at",
+    "transaction_items": "transaction_id item_id quantity unit_price subtotal created_at",
+    "users": "user_id gender birthdate registered_at",
+    "stores": "store_id store_name street postal_code city state latitude longitude",
+    "menu_items": "item_id item_name category price is_seasonal available_from available_to",
+}
+_DECIMAL = "-?([0-9]+[.]?[0-9]*|[.][0-9]+)"
+_HOLDS = (
+    {"transaction_id": "regexp_full_match({v}, '[0-9a-fA-F]{{8}}-([0-9a-fA-F]{{4}}-){{3}}[0-9a-fA-F]{{12}}')", "user_id": "regexp_full_match({v}, '[0-9]+([.]0)?')", "is_seasonal": "lower({v}) IN ('true', 'false')"}
+    | {c: "regexp_full_match({v}, '[0-9]+')" for c in ("store_id", "payment_method_id", "voucher_id", "item_id", "quantity")}
+    | {c: f"regexp_full_match({{v}}, '{_DECIMAL}')" for c in ("original_amount", "discount_applied", "final_amount", "unit_price", "subtotal", "price")}
+    | {c: f"regexp_full_match({{v}}, '{_DECIMAL}') AND abs(TRY_CAST({{v}} AS DOUBLE)) <= {b}" for c, b in (("latitude", 90), ("longitude", 180))}
+    | {c: "regexp_full_match({v}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') AND substr({v}, 12, 2) < '24' AND TRY_CAST({v} AS TIMESTAMP) IS NOT NULL" for c in ("created_at", "registered_at")}
+    | {c: "regexp_full_match({v}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST({v} AS DATE) IS NOT NULL" for c in ("birthdate", "available_from", "available_to")}
+)
+_MAY_BE_EMPTY = {"voucher_id", "gender", "available_from", "available_to"}
+
+
+def _valid(table: str) -> str:
+    out = []
+    for i, c in enumerate(_RECORDS[table].split(), 1):
+        v = f"trim(f[{i}], ' ' || chr(9) || chr(10) || chr(13))"
+        holds = f"({_HOLDS[c].format(v=v)})" if c in _HOLDS else "true"
+        empty = c in _MAY_BE_EMPTY or (table, c) == ("transactions", "user_id")
+        out.append(f"coalesce(CASE WHEN {v} = '' THEN {str(empty).lower()} ELSE {holds} END, false)")
+    return " AND ".join(out)
+
+
+_FIELD = '"(?:[^"]|"")*"|[^",]*'
+_PARSED = f"""
+WITH lines AS (SELECT raw_id, data_type, columns_have, CASE WHEN right(raw_line, 1) = chr(13) THEN left(raw_line, length(raw_line) - 1) ELSE raw_line END AS line FROM raw_rows WHERE NOT regexp_full_match(raw_line, '\\s*')),
+quoted AS (SELECT *, regexp_full_match(line, '(?:{_FIELD})(?:,(?:{_FIELD}))*') AS ok FROM lines),
+fields AS (SELECT *, CASE WHEN ok THEN list_transform(regexp_extract_all(line || ',', '({_FIELD}),', 1), lambda x: CASE WHEN left(x, 1) = '"' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) END AS f FROM quoted),
+parsed AS (SELECT raw_id, data_type, f, CASE WHEN NOT ok THEN 'quoting' WHEN len(f) <> columns_have THEN 'column_count' WHEN NOT (CASE data_type {" ".join(f"WHEN '{t}' THEN {_valid(t)}" for t in _RECORDS)} ELSE true END) THEN 'invalid_value' END AS reason FROM fields)
+"""
+
 SQL = {
+    "p5_found": _PARSED + "SELECT raw_id, reason FROM parsed WHERE reason IS NOT NULL",
+    "p5_loaded": _PARSED + "SELECT raw_id, data_type, CAST(to_json(f) AS VARCHAR) AS fields FROM parsed WHERE reason IS NULL",
     "p1_moments": " UNION ALL ".join(_moments(t, c, k) for t, cs in _WATCHED.items() for c, k in cs),
     "p1_power_sums": " UNION ALL ".join(_sums(t, c, k) for t, cs in _WATCHED.items() for c, k in cs),
     "p1_profile": " UNION ALL ".join(_profile(t, c, k) for t, kinds in _PROFILED.items() for k, cs in enumerate(kinds) for c in cs.split()),
@@ -81,8 +121,4 @@ SQL = {
     "p3_kept": """SELECT delivery_id, request_id, data_type, position, payload FROM receiver_messages WHERE position IS NULL OR request_id IS NULL OR data_type IS NULL OR delivery_id IN (
         SELECT first(delivery_id ORDER BY received_at NULLS LAST, delivery_id) FROM receiver_messages
         WHERE position IS NOT NULL AND request_id IS NOT NULL AND data_type IS NOT NULL GROUP BY request_id, data_type, position)""",
-    "p4_found": f"""SELECT request_id, candidate_id FROM (
-        SELECT request_id, candidate_id, row_number() OVER (PARTITION BY request_id, store ORDER BY purchases_qty DESC, birthdate ASC NULLS LAST, candidate_id) AS i FROM (
-            SELECT DISTINCT request_id, candidate_id, {_name("store_name")} AS store, purchases_qty, nullif(birthdate, '') AS birthdate FROM q4_candidates)
-        WHERE request_id IS NOT NULL AND store IS NOT NULL AND purchases_qty IS NOT NULL) WHERE i <= 3""",
 }

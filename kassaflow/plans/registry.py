@@ -16,10 +16,11 @@ from ..operators.clean import clean, require
 from ..schemas import COLUMNS, spec
 from ..session import scratch_path
 from ..sources import sinks
-from ..sources.readers import parquet, pipe_records, union_all
+from ..sources.readers import parquet, pipe_records, scan_directory, union_all
 from ..streaming import incremental
 from . import quality, sales
 from .quality_sql import SQL as QUALITY_SQL
+from .requests import Requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,11 +79,10 @@ def _differences(s: SparkSession, d: str) -> DataFrame:
     return setops.differences(a, b)
 
 
-def _seasonal_lookup(s: SparkSession, d: str) -> DataFrame:
-    """Totals per item against half of the menu: items without a name show their key."""
+def _lookup_fallback(s: SparkSession, d: str) -> DataFrame:
+    """Totals per item against the menu: items that aren't on it show their key."""
     totals = _items(s, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    menu = clean(parquet(s, d, "menu_items"), spec("menu_items")).where(F.length("item_id") % 2 == 0)
-    return joins.lookup_items(totals, menu).groupBy("item_name").agg(F.sum("n").alias("n"))
+    return joins.lookup_items(totals, clean(parquet(s, d, "menu_items"), spec("menu_items"))).groupBy("item_name").agg(F.sum("n").alias("n"))
 
 
 def _scalars(s: SparkSession, d: str) -> DataFrame:
@@ -109,6 +109,17 @@ def _from_csv(s: SparkSession, d: str) -> DataFrame:
     return _double(sales.half_year_volumes(sales.from_csv(s, root)), "tpv")
 
 
+def _from_named_files(s: SparkSession, d: str) -> DataFrame:
+    """Rows and distinct ids by table of files whose names only begin with a table's, in any case and folder."""
+    root = scratch_path(s, "named")
+    names = {"users": "Users202401", "stores": "archive/stores-2024", "menu_items": "MENU_ITEMS_sample", "transaction_items": "Transaction_Items_202401", "transactions": "sub/transactions2024"}
+    for table, name in names.items():
+        sinks.write_table_files(parquet(s, d, table).select(*COLUMNS[table]), root, table, name)
+    sinks.write_table_files(parquet(s, d, "stores").select(*COLUMNS["stores"]), root, "stores", "other_stores")
+    key = {"users": "user_id", "stores": "store_id", "menu_items": "item_id", "transaction_items": "item_id", "transactions": "transaction_id"}
+    return union_all([df.agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n"), F.count_distinct(key[t]).alias("ids")) for t, df in scan_directory(s, root)])
+
+
 def _json_dump(s: SparkSession, d: str) -> DataFrame:
     """Users in two requests, dumped as JSON and read again."""
     path = scratch_path(s, "json")
@@ -117,6 +128,57 @@ def _json_dump(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema("user_id string, birthdate string, request_id long").json(path)
 
 
+def _csv_read_back(s: SparkSession, d: str) -> DataFrame:
+    """The half-year volumes as a client's CSV file, read as text again."""
+    path = scratch_path(s, "result")
+    sinks.write_csv(sales.half_year_volumes(sales.from_parquet(s, d)), path, single_file=True, decimals={"tpv": 2})
+    return s.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    """Two requests for all results, the first cut off and cleaned away, the second delivered: rows by result."""
+    r = Requests(s, scratch_path(s, "requests"))
+    lost = r.accept()
+    kept = r.accept()
+    paths = r.run(kept, sales.from_parquet(s, d))
+    if r.clean_up() != [lost]:
+        raise RuntimeError("the request that was cut off is the one to clean up")
+    return union_all([s.read.option("header", True).csv(p).agg(F.lit(kept).cast("long").alias("request_id"), F.lit(n).alias("result"), F.count(F.lit(1)).alias("n")) for n, p in paths.items()])
+
+
+def _restarted(s: SparkSession, d: str) -> DataFrame:
+    """Monthly totals of a stream that is lost in its sink and taken up again from its checkpoint."""
+    base = scratch_path(s, "restarted")
+    lost = []
+
+    def partial(batch: DataFrame) -> DataFrame:
+        if not lost:
+            lost.append(True)
+            raise RuntimeError("lost on purpose")
+        return aggs.monthly_item_totals(batch)
+
+    def run() -> DataFrame:
+        items = clean(incremental.stream_table(s, d, "transaction_items", 1), spec("transaction_items"))
+        return incremental.partials(items, f"{base}/checkpoint", f"{base}/out", partial)
+
+    try:
+        run()
+    except Exception:
+        if not lost:
+            raise
+    return _double(aggs.merge_partials(run(), ["year_month_created_at", "item_id"], ["sellings_qty", "profit_sum"]), "profit_sum")
+
+
+def _positions_of(df: DataFrame, *order: str) -> DataFrame:
+    """A result with the position that each row has in its order."""
+    return dedup.dense_positions(df, list(order))
+
+
+def _weekends(df: DataFrame) -> DataFrame:
+    """A stage of a user's own, as ``DataFrame.transform`` takes it."""
+    return df.where(F.dayofweek("created_at").isin(1, 7))
+
+
 def _streams(s: SparkSession, d: str) -> DataFrame:
     return completeness.stream_completeness(parquet(s, d, "receiver_messages"))
 
@@ -131,7 +193,18 @@ QUERIES: dict[str, Query] = {
     "q4_top_buyers_counts": lambda s, d: sales.top_buyers(sales.from_parquet(s, d), counts=True),
     "q4_top_buyers_with_ties": lambda s, d: sales.top_buyers(sales.from_parquet(s, d), with_ties=True, counts=True),
     "q3_from_csv": _from_csv,
+    "q3_from_named_files": _from_named_files,
+    "q4_tie_check": lambda s, d: sales.tie_check(sales.from_parquet(s, d)),
+    "q1_ordered": lambda s, d: _double(_positions_of(sales.high_amounts(sales.from_parquet(s, d)), "transaction_id"), "final_amount"),
+    "q2a_ordered": lambda s, d: _positions_of(sales.top_items_by_quantity(sales.from_parquet(s, d)), "year_month_created_at"),
+    "q3_ordered": lambda s, d: _double(_positions_of(sales.half_year_volumes(sales.from_parquet(s, d)), "year_half_created_at", "store_name"), "tpv"),
+    "q3_csv_read_back": _csv_read_back,
+    "q3_as_text": lambda s, d: sinks.as_text(sales.half_year_volumes(sales.from_parquet(s, d)), {"tpv": 1}),
+    "request_results": _requests,
     # single operators
+    "filter_everything": lambda s, d: parquet(s, d, "events").where(filters.make_filter("all")).select("event_id"),
+    "custom_stage": lambda s, d: _tx(s, d).transform(_weekends).transform(filters.passes, filters.min_amount("final_amount", 75)).select("transaction_id", F.col("final_amount").cast("double").alias("final_amount")),
+    "join_by_mode": lambda s, d: _double(joins.join("q3", aggs.aggregate("q3", _tx(s, d)), clean(parquet(s, d, "stores"), spec("stores"))), "tpv"),
     "clean_transactions": lambda s, d: _ntz(_double(_tx(s, d), "final_amount"), "created_at"),
     "clean_items": lambda s, d: _ntz(_double(_items(s, d), "subtotal"), "created_at"),
     "clean_users": lambda s, d: clean(parquet(s, d, "users"), spec("users")),
@@ -149,7 +222,7 @@ QUERIES: dict[str, Query] = {
     "distinct_on_first": _distinct_lines,
     "dense_positions": _positions,
     "split_requests_json": _json_dump,
-    "lookup_fallback": _seasonal_lookup,
+    "lookup_fallback": _lookup_fallback,
     "union_all_parts": lambda s, d: union_all([parquet(s, d, "orders").where(F.col("o_orderkey") % 2 == i).select("o_orderkey", "o_totalprice") for i in (0, 1)]),
     "set_differences": _differences,
     "scalar_functions": _scalars,
@@ -159,6 +232,10 @@ QUERIES: dict[str, Query] = {
     "late_messages": lambda s, d: completeness.late_messages(parquet(s, d, "receiver_messages"), _streams(s, d)),
     "stream_monthly_items": incremental.stream_monthly_items,
     "stream_first_deliveries": incremental.stream_first_deliveries,
+    "stream_q1": lambda s, d: _double(incremental.stream_high_amounts(s, d), "final_amount"),
+    "stream_q3": lambda s, d: _double(incremental.stream_half_year_volumes(s, d), "tpv"),
+    "stream_q4": incremental.stream_top_buyers,
+    "stream_restarted": _restarted,
     # data quality
     "p1_found": quality.p1_found,
     "p1_profile": quality.p1_profile,
@@ -169,7 +246,6 @@ QUERIES: dict[str, Query] = {
     "p3_found": quality.p3_found,
     "p3_kept": quality.p3_kept,
     "p3_replayed": quality.p3_replayed,
-    "p4_found": quality.p4_found,
     "p5_found": quality.p5_found,
     "p5_loaded": quality.p5_loaded,
 }
@@ -239,7 +315,7 @@ SQL: dict[str, str] = {
     "dense_positions": "SELECT transaction_id, row_number() OVER (ORDER BY transaction_id) AS position FROM (SELECT DISTINCT transaction_id FROM transactions WHERE transaction_id IS NOT NULL)",
     "split_requests_json": """WITH u AS (SELECT DISTINCT user_id, birthdate FROM users WHERE user_id IS NOT NULL)
         SELECT user_id, birthdate, CAST((row_number() OVER (ORDER BY user_id, birthdate NULLS FIRST) - 1) // CAST(ceil((SELECT count(*) FROM u) / 2.0) AS BIGINT) AS BIGINT) + 1 AS request_id FROM u""",
-    "lookup_fallback": f"SELECT coalesce(item_name, t.item_id) AS item_name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT item_id, count(*) AS n FROM ({_IT}) GROUP BY 1) t LEFT JOIN (SELECT item_id, max(item_name) AS item_name FROM menu_items WHERE length(item_id) % 2 = 0 AND item_id <> '' AND item_name <> '' GROUP BY 1) m ON t.item_id = m.item_id GROUP BY 1",
+    "lookup_fallback": f"SELECT coalesce(item_name, t.item_id) AS item_name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT item_id, count(*) AS n FROM ({_IT}) GROUP BY 1) t LEFT JOIN (SELECT item_id, max(item_name) AS item_name FROM menu_items WHERE item_id <> '' AND item_name <> '' GROUP BY 1) m ON t.item_id = m.item_id GROUP BY 1",
     "union_all_parts": "SELECT o_orderkey, o_totalprice FROM orders",
     "set_differences": f"""WITH a AS (SELECT {_ID} AS user_id FROM transactions WHERE regexp_matches(trim(user_id), {_NUM})), b AS (SELECT {_ID} AS user_id FROM users WHERE regexp_matches(trim(user_id), {_NUM}))
         SELECT user_id, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT user_id, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
@@ -251,8 +327,29 @@ SQL: dict[str, str] = {
     "stream_monthly_items": f"SELECT {_MONTH} AS year_month_created_at, item_id, CAST(sum(quantity) AS BIGINT) AS sellings_qty, CAST(sum(subtotal) AS DOUBLE) AS profit_sum FROM ({_IT}) GROUP BY 1, 2",
     "stream_first_deliveries": QUALITY_SQL["p3_found"],
 } | QUALITY_SQL
-SQL["p3_replayed"] = SQL["p3_kept"]
-SQL["q3_from_csv"] = SQL["q3_half_year_volumes"]
+SQL |= {
+    "p3_replayed": SQL["p3_kept"],
+    "q3_from_csv": SQL["q3_half_year_volumes"],
+    "stream_q1": SQL["q1_high_amounts"],
+    "stream_q3": SQL["q3_half_year_volumes"],
+    "stream_q4": SQL["q4_top_buyers_counts"],
+    "stream_restarted": SQL["agg_monthly_items"],
+    "q1_ordered": f"SELECT *, row_number() OVER (ORDER BY transaction_id) AS position FROM ({SQL['q1_high_amounts']})",
+    "q2a_ordered": f"SELECT *, row_number() OVER (ORDER BY year_month_created_at) AS position FROM ({SQL['q2a_top_items_by_quantity']})",
+    "q3_ordered": f"SELECT *, row_number() OVER (ORDER BY year_half_created_at, store_name) AS position FROM ({SQL['q3_half_year_volumes']})",
+    "q3_csv_read_back": f"SELECT year_half_created_at, store_name, CAST(CAST(tpv AS DECIMAL(18, 2)) AS VARCHAR) AS tpv FROM ({SQL['q3_half_year_volumes']})",
+    "q3_as_text": f"SELECT year_half_created_at, store_name, CAST(round(CAST(tpv AS DECIMAL(18, 2)), 1) AS VARCHAR) AS tpv FROM ({SQL['q3_half_year_volumes']})",
+    "q3_from_named_files": """SELECT 'users' AS table_name, count(*) AS n, count(DISTINCT nullif(user_id, '')) AS ids FROM users UNION ALL SELECT 'stores', count(*), count(DISTINCT nullif(store_id, '')) FROM stores
+        UNION ALL SELECT 'menu_items', count(*), count(DISTINCT nullif(item_id, '')) FROM menu_items UNION ALL SELECT 'transaction_items', count(*), count(DISTINCT nullif(item_id, '')) FROM transaction_items
+        UNION ALL SELECT 'transactions', count(*), count(DISTINCT nullif(transaction_id, '')) FROM transactions""",
+    "q4_tie_check": f"""WITH c AS (SELECT store_name, purchases_qty, count(*) OVER (PARTITION BY store_name) AS k, rank() OVER (PARTITION BY store_name ORDER BY purchases_qty DESC) AS r FROM ({_buyers('rank', '')})),
+        g AS (SELECT *, count(*) OVER (PARTITION BY store_name, purchases_qty) AS same FROM c WHERE r <= 3)
+        SELECT store_name, least(3, count(*)) AS n_found, least(3, count(*)) AS n_wanted, count(*) FILTER (NOT (r + same - 1 >= 3)) AS n_certain, count(*) FILTER (r + same - 1 >= 3) AS n_tied, true AS valid FROM g GROUP BY 1""",
+    "request_results": " UNION ALL ".join(f"SELECT CAST(2 AS BIGINT) AS request_id, '{n}' AS result, count(*) AS n FROM ({SQL[q]})" for n, q in {"q1": "q1_high_amounts", "q2_a": "q2a_top_items_by_quantity", "q2_b": "q2b_top_items_by_revenue", "q3": "q3_half_year_volumes", "q4": "q4_top_buyers"}.items()),
+    "filter_everything": "SELECT event_id FROM events",
+    "custom_stage": f"SELECT transaction_id, CAST(final_amount AS DOUBLE) AS final_amount FROM ({_TX}) WHERE dayofweek(created_at) IN (0, 6) AND final_amount >= 75",
+    "join_by_mode": f"SELECT year_half_created_at, coalesce(store_name, t.store_id) AS store_name, tpv FROM ({SQL['agg_half_year_stores']}) t LEFT JOIN {_ST} s ON t.store_id = s.store_id",
+}
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:

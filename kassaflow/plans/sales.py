@@ -13,6 +13,7 @@ from ..operators.clean import clean, require
 from ..operators.dedup import distinct_on
 from ..operators.filters import min_amount, passes, temporal
 from ..operators.joins import lookup_items, lookup_stores, lookup_stores_users
+from ..operators.setops import top_n_check
 from ..operators.topn import sorted_by, top_n, top_n_metrics
 from ..schemas import spec
 from ..sources.readers import csv_typed, parquet
@@ -78,5 +79,13 @@ def top_buyers(t: Tables, n: int = 3, with_ties: bool = False, counts: bool = Fa
     return sorted_by(named.select("store_name", "birthdate", *["purchases_qty"] * counts), "store_name", "birthdate")
 
 
+def tie_check(t: Tables, n: int = 3) -> DataFrame:
+    """Per store whether the top buyers are a choice that ties allow (``setops.top_n_check``)."""
+    kept = require(passes(t("transactions"), temporal("created_at", *YEARS)), ["user_id"])
+    candidates = top_n(purchase_counts(kept), ["store_id"], "purchases_qty", n, [], with_ties=True)
+    named = lookup_stores_users(candidates, t("stores"), t("users"))
+    return top_n_check(top_buyers(t, n), named, "store_name", "birthdate", "purchases_qty", n)
+
+
 def run_all(t: Tables) -> dict[str, DataFrame]:
     return {"q1": high_amounts(t), "q2_a": top_items_by_quantity(t), "q2_b": top_items_by_revenue(t), "q3": half_year_volumes(t), "q4": top_buyers(t)}

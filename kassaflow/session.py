@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -31,12 +34,17 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", **con
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, as the cluster sets it.
 
-    Only where it is unset (tests, one machine) a temporary folder is made,
-    used as the checkpoint folder and removed at the end of the process.
+    Only where it is unset and the master is local (tests, one machine) a
+    temporary folder is made, used as the checkpoint folder and removed at the
+    end of the process. On a cluster an unset folder is an error, as executors
+    would write to disks of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="kassaflow-")
@@ -45,9 +53,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at its end, the tables that were written within it. Frames that read them can't be used any more."""
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            remove(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed at the end of the process."""
+    """A fresh path below the shared folder, removed at the end of its ``scratch_scope`` or of the process."""
     path = f"{shared_dir(spark)}/kassaflow/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes[-1:]:
+        scope.append(path)
     atexit.register(_forget, spark, path)
     return path
 

@@ -24,42 +24,54 @@ def parquet(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
-def csv_text(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """All files of a table below ``root`` as text columns, in one plan.
+def table_files(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """The delimited files below ``root`` by table, in order of name.
 
-    Files are recognised by their name (``users.csv``, ``users_2024.csv``,
-    ``users_sample.csv``) in any subfolder. Empty values and missing trailing
-    columns are null; values beyond the declared columns are ignored. No file:
-    an empty frame of the schema. Values with quotes follow RFC 4180.
+    A file belongs to the table that its name begins with, whatever its case
+    and whatever follows (``users.csv``, ``Users-2024.CSV``,
+    ``transaction_items202401_sample.csv``); of several the longest. Other
+    files are left out.
     """
-    names = "{" + ",".join(sorted({p + s for p in _case_variants(table) for s in _suffixes(table)})) + "}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[str, list[str]] = {t: [] for t in LOAD_ORDER}
+    files = fs.listFiles(p, True) if fs.exists(p) else None
+    while files is not None and files.hasNext():
+        path = files.next().getPath()
+        stem, dot, kind = path.getName().lower().rpartition(".")
+        if kind == "csv" and (fits := [t for t in LOAD_ORDER if stem.startswith(t)]):
+            out[max(fits, key=len)].append(path.toString())
+    return {t: sorted(paths) for t, paths in out.items()}
+
+
+def csv_text(spark: SparkSession, root: str, table: str, multi_line: bool = False) -> DataFrame:
+    """All files of a table below ``root`` (``table_files``) as text columns, in one plan.
+
+    Empty values and missing trailing columns are null; values beyond the
+    declared columns are ignored. No file: an empty frame of the schema. Values
+    with quotes follow RFC 4180. Files are split into tasks by size; only with
+    ``multi_line``, for files whose values hold line breaks, a file is one task.
+    """
+    files = table_files(spark, root)[table]
+    if not files:
+        return spark.createDataFrame([], text_schema(table))
     reader = (
         spark.read.schema(text_schema(table))
         .option("header", True)
         .option("enforceSchema", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", names)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("nullValue", "")
         .option("mode", "PERMISSIVE")
     )
-    return reader.csv(root)
-
-
-def _case_variants(table: str) -> list[str]:
-    return [table, table.upper(), table.capitalize()]
-
-
-def _suffixes(table: str) -> list[str]:
-    # "transactions" must not take "transaction_items"; names differ after the stem
-    return [".csv", "_*.csv", ".CSV", "_*.CSV"]
+    return reader.csv(files)
 
 
-def csv_typed(spark: SparkSession, root: str, table: str) -> DataFrame:
+def csv_typed(spark: SparkSession, root: str, table: str, multi_line: bool = False) -> DataFrame:
     """``csv_text`` with lenient casts: what doesn't parse is null."""
-    df = csv_text(spark, root, table)
+    df = csv_text(spark, root, table, multi_line)
     return df.select(*[F.try_to_timestamp(c).alias(c) if isinstance(typed(c), T.TimestampType) else F.col(c).try_cast(typed(c)).alias(c) for c in COLUMNS[table]])
 
 

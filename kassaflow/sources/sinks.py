@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import fixed_places
 from ..session import _fs, scratch_path
 
 
+#: Quotes by RFC 4180, and values with their outer spaces.
+_AS_IT_IS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def as_text(df: DataFrame, decimals: dict[str, int] | None = None) -> DataFrame:
     """Columns as result text: fractions with a fixed number of places, never in exponent form; null stays null."""
     places = decimals or {}
@@ -18,8 +23,7 @@ def as_text(df: DataFrame, decimals: dict[str, int] | None = None) -> DataFrame:
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if f.name in places or isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.format_string(f"%.{places.get(f.name, 2)}f", c.cast("double"))
-            c = F.when(F.col(f"`{f.name}`").isNotNull(), c)
+            c = fixed_places(c, places.get(f.name, 2))
         elif isinstance(f.dataType, T.DecimalType):
             c = c.cast("string")
         out.append(c.alias(f.name))
@@ -33,7 +37,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, decimals: dic
     every partition writes its own part.
     """
     text = as_text(df, decimals)
-    (text.coalesce(1) if single_file else text).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    (text.coalesce(1) if single_file else text).write.mode("overwrite").option("header", True).options(**_AS_IT_IS).csv(path)
 
 
 def deliver(results: dict[str, DataFrame], root: str, write: Callable[[DataFrame, str], None] | None = None) -> dict[str, str]:
@@ -45,8 +49,8 @@ def deliver(results: dict[str, DataFrame], root: str, write: Callable[[DataFrame
     return paths
 
 
-def write_table_files(df: DataFrame, root: str, table: str) -> None:
-    """Headered CSV files ``root/table_00000.csv`` and on, as ``readers.csv_text`` finds them.
+def write_table_files(df: DataFrame, root: str, table: str, name: str | None = None) -> None:
+    """Headered CSV files ``root/table_00000.csv`` and on (``name`` in place of the table's), as ``readers.csv_text`` finds them.
 
     Parts are written aside and renamed one by one when all are complete.
     Times are written as ``YYYY-MM-DD HH:MM:SS``; null is an empty value.
@@ -54,12 +58,12 @@ def write_table_files(df: DataFrame, root: str, table: str) -> None:
     spark = df.sparkSession
     text = [F.date_format(f.name, "yyyy-MM-dd HH:mm:ss").alias(f.name) if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(f"`{f.name}`").cast("string").alias(f.name) for f in df.schema]
     aside = scratch_path(spark, table)
-    df.select(*text).write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(aside)
+    df.select(*text).write.option("header", True).options(**_AS_IT_IS).option("emptyValue", "").option("nullValue", "").csv(aside)
     fs, p = _fs(spark, aside)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs.mkdirs(path(root))
+    fs.mkdirs(path(f"{root}/{name or table}").getParent())
     for i, s in enumerate(sorted((s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")), key=lambda x: x.getName())):
-        fs.rename(s, path(f"{root}/{table}_{i:05d}.csv"))
+        fs.rename(s, path(f"{root}/{name or table}_{i:05d}.csv"))
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from kassaflow.operators import profile as prof
 from kassaflow.operators import records, references
-from kassaflow.operators.bands import top_n_by_bands
 from kassaflow.operators.redelivery import Conflict, MessageStore, first_deliveries
 
 T0 = datetime(2024, 1, 1)
@@ -261,33 +260,6 @@ def test_an_upsert_reads_the_buckets_of_its_identifiers_only(spark, tmp_path):
     assert len(store.index([0]).inputFiles()) < len(store.index().inputFiles()) and store.index().count() == 200
 
 
-def test_bands_against_brute_force(spark, rows):
-    r = random.Random(7)
-    data = [(r.choice(["a", "b", None]), r.randrange(30), i, r.choice([None, *range(12)]), r.choice([None, "x", "y"])) for i in range(2000)]
-    data += [("hot", 1, 5000 + i, 11, "x") for i in range(1500)]
-    data += r.sample(data, 300)
-    df = spark.createDataFrame(data, "g string, h int, id long, score int, `__rank` string")
-    ties = [F.asc_nulls_last("__rank"), F.asc("id")]
-    got = {tuple(x) for x in top_n_by_bands(df, ["g", "h"], "score", ties, 3).select("g", "h", "id").collect()}
-    groups = {}
-    for x in set(data):
-        if x[0] is not None and x[3] is not None:
-            groups.setdefault(x[:2], []).append(x)
-    want = {(*g, x[2]) for g, v in groups.items() for x in sorted(v, key=lambda x: (-x[3], x[4] is None, x[4] or "", x[2]))[:3]}
-    assert got == want
-    assert {tuple(x) for x in top_n_by_bands(df, ["g", "h"], "score", ties, 3, shares=()).select("g", "h", "id").collect()} == want
-    assert top_n_by_bands(df.limit(0), ["g", "h"], "score", ties, 3).count() == 0
-
-
-def test_bands_with_a_large_table_of_filled_groups(spark, monkeypatch):
-    from kassaflow.operators import bands
-
-    df = spark.range(3000).selectExpr("id % 50 as g", "id as v", "id")
-    want = {tuple(x) for x in top_n_by_bands(df, ["g"], "v", [F.asc("id")], 2).collect()}
-    monkeypatch.setattr(bands, "BROADCAST_BYTES", -1)
-    assert {tuple(x) for x in top_n_by_bands(df, ["g"], "v", [F.asc("id")], 2).collect()} == want and len(want) == 100
-
-
 # -- records
 
 
