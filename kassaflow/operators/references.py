@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import month_key
 from ..session import written
 from .names import free_name
-from .skew import rows_with_keys
+from .skew import rows_with_keys, salted
 
 _ALWAYS = "0001-01-01 00:00:00"
 
@@ -42,7 +42,7 @@ def orphans(rows: DataFrame, alive: DataFrame) -> DataFrame:
        the map side) are anti-joined with the lifetimes that cover both: what
        is left are keys that never existed or were dead at some time.
     2. Only rows of those keys are looked at one by one, by an anti-join with
-       the lifetimes at their own time.
+       the lifetimes at their own time, hot keys over many tasks.
 
     Rows with null keys aren't references. A row with a null time can't be
     placed: it counts as an orphan only if its key never existed. Columns of
@@ -60,7 +60,10 @@ def orphans(rows: DataFrame, alive: DataFrame) -> DataFrame:
     total = suspects.agg(F.sum("n")).first()[0]
     lives = alive.join(suspects.withColumnRenamed("key", k), k, "left_semi")
     near = rows_with_keys(refs, suspects, "key", "n", total or 0)
-    return near.join(lives, (F.col("key") == F.col(k)) & (F.col("t").isNull() | living("t", "t")), "left_anti")
+    salt, other = free_name(rows.columns, "__salt"), free_name([*rows.columns, "__salt"], "__salt_of")
+    near, lives = salted(near, lives, suspects, "key", "n", total or 0, k, salt)
+    lives = lives.withColumnRenamed(salt, other)
+    return near.join(lives, (F.col("key") == F.col(k)) & (F.col(salt) == F.col(other)) & (F.col("t").isNull() | living("t", "t")), "left_anti").drop(salt)
 
 
 def report(orphan_rows: DataFrame) -> DataFrame:

@@ -11,6 +11,24 @@ from ..session import table_bytes
 HOT_SHARE = 1000
 
 
+#: Tasks over which the rows of a hot key are spread.
+SALTS = 32
+
+
+def salted(rows: DataFrame, others: DataFrame, keys: DataFrame, key: str, count: str, total: int, other_key: str, salt: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``others`` with a column ``salt`` to join on beside the key, so that no hot key is one task.
+
+    ``keys`` has the number of rows of each key. Rows of hot keys, at most
+    ``HOT_SHARE`` by arithmetic, are spread by a hash of all their columns, and
+    what they meet is repeated for each salt; the rest has the salt 0.
+    """
+    hot = F.broadcast(keys.where(F.col(count) >= max(2.0, total / HOT_SHARE)).select(F.col(key).alias("__hot")))
+    spread = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS))).otherwise(0).cast("int")
+    left = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn(salt, spread).drop("__hot")
+    each = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left, others.join(hot, F.col(other_key) == F.col("__hot"), "left").withColumn(salt, F.explode(each)).drop("__hot")
+
+
 def rows_with_keys(rows: DataFrame, keys: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Rows whose key is in ``keys`` (distinct, with the number of rows of each).
 

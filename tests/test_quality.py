@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kassaflow.operators import profile as prof
-from kassaflow.operators import records, references
+from kassaflow.operators import records, references, skew
 from kassaflow.operators.redelivery import Conflict, MessageStore, first_deliveries
 
 T0 = datetime(2024, 1, 1)
@@ -135,7 +135,9 @@ def alive_at(key, t, parents, deletions):
     return any(k == key and (s is None or s <= t) and not any(dk == key and (s is None or d > s) and d <= t for dk, d in deletions) for k, s in parents)
 
 
-def test_references_against_brute_force(spark, rows):
+@pytest.mark.parametrize("hot_share", [1000, 5])
+def test_references_against_brute_force(spark, rows, monkeypatch, hot_share):
+    monkeypatch.setattr(skew, "HOT_SHARE", hot_share)
     r = random.Random(3)
     day = lambda: T0 + timedelta(days=r.randrange(20))
     parents = [(f"k{r.randrange(8)}", r.choice([None, day(), day(), day()])) for _ in range(20)]
