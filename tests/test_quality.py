@@ -356,4 +356,4 @@ def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert all(f"p{i}_found" in e.queries() for i in range(1, 6))
+    assert all(f"p{i}_found" in e.queries() for i in (1, 2, 3, 5))

@@ -16,12 +16,43 @@ def test_totals_go_on_from_the_checkpoint(spark, tmp_path):
     path, out, check = (str(tmp_path / x) for x in ("t/transaction_items.parquet", "out", "check"))
     items(spark, path, [1, 2, 3])
     incremental.monthly_items(incremental.stream_table(spark, str(tmp_path / "t"), "transaction_items"), check, out)
-    assert {r.item_id: r.sellings_qty for r in spark.read.parquet(out).collect()} == {"i0": 2, "i1": 4}
+    assert {r.item_id: r.sellings_qty for r in incremental.newest(spark, out).collect()} == {"i0": 2, "i1": 4}
     # the same again changes nothing; new files are added
     incremental.monthly_items(incremental.stream_table(spark, str(tmp_path / "t"), "transaction_items"), check, out)
     items(spark, path, [4])
     incremental.monthly_items(incremental.stream_table(spark, str(tmp_path / "t"), "transaction_items"), check, out)
-    assert {r.item_id: r.sellings_qty for r in spark.read.parquet(out).collect()} == {"i0": 6, "i1": 4}
+    assert {r.item_id: r.sellings_qty for r in incremental.newest(spark, out).collect()} == {"i0": 6, "i1": 4}
+
+
+def test_readers_of_a_state_see_no_other(spark, tmp_path):
+    path, out, check = (str(tmp_path / x) for x in ("t/transaction_items.parquet", "out", "check"))
+    assert incremental.newest(spark, out) is None
+    items(spark, path, [1, 2, 3])
+    incremental.monthly_items(incremental.stream_table(spark, str(tmp_path / "t"), "transaction_items"), check, out)
+    before = incremental.newest(spark, out)
+    items(spark, path, [4])
+    incremental.monthly_items(incremental.stream_table(spark, str(tmp_path / "t"), "transaction_items"), check, out)
+    (tmp_path / "out" / "state-9").mkdir()  # one that isn't complete
+    assert {r.item_id: r.sellings_qty for r in before.collect()} == {"i0": 2, "i1": 4}
+    assert {r.item_id: r.sellings_qty for r in incremental.newest(spark, out).collect()} == {"i0": 6, "i1": 4}
+
+
+def test_a_batch_lost_in_the_sink_is_counted_once(spark, tmp_path):
+    path, out, check = (str(tmp_path / x) for x in ("t/transaction_items.parquet", "out", "check"))
+    for ids in ([1, 2, 3], [4], [5]):
+        items(spark, path, ids)
+    seen = []
+
+    def partial(batch):
+        seen.append(1)
+        if len(seen) == 2:
+            raise RuntimeError("lost")
+        return batch.groupBy("item_id").agg(F.sum("quantity").alias("n"))
+
+    run = lambda: incremental.partials(incremental.stream_table(spark, str(tmp_path / "t"), "transaction_items", 1), check, out, partial)
+    with pytest.raises(Exception):
+        run()
+    assert {r.item_id: r.n for r in run().groupBy("item_id").agg(F.sum("n").alias("n")).collect()} == {"i0": 6, "i1": 9} and len(seen) == 4
 
 
 def test_crash_between_store_and_sink_replays_to_the_same(spark, tmp_path):
