@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import lenient_double
+from ..session import written
 
 WHOLE_NUMBER = r"^(?:0|[1-9][0-9]*)\z"
 
@@ -299,7 +300,8 @@ def departures(profiles: DataFrame, limits: Limits = Limits(), by: list[str] | N
     there is one row per load, so the grouped percentiles stay small.
     """
     keys = [*(by or []), "column_name"]
-    p = _mixes(moments(profiles), keys, limits)
+    # read several times from here on
+    p = _mixes(written(moments(profiles), "moments"), keys, limits)
     n, filled = F.col("n_rows").cast("double"), (F.col("n_rows") - F.col("n_null")).cast("double")
     p = p.withColumn("null_rate", F.col("n_null") / n).withColumn("violation_rate", F.when(filled > 0, F.col("n_violations") / filled))
     p = p.withColumn("log_sd", F.when(F.col("sd") > 0, F.log("sd")))
