@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import name_or_key
+from ..session import written
 from .names import free_name
 
 
@@ -24,14 +25,14 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, last_by: list[Co
     """Left join with a dimension; where it has no name, the key stands in for it.
 
     Repeated dimension keys don't multiply rows. With ``few`` the dimension is
-    cut to the keys that ``df`` has before anything else is done with it; ``df``
-    is then computed twice but for its shared exchanges, so it should be small
-    against the dimension. Either side is broadcast only if its size is below
+    cut to the keys that ``df`` has before anything else is done with it; ``df``,
+    which should be small against the dimension, is written for that. Either side is broadcast only if its size is below
     Spark's threshold, which adaptive execution checks at run time; else both
     are shuffled. A null key gives null.
     """
     k, v = free_name(df.columns, "__k"), free_name(df.columns, "__v")
     if few:
+        df = written(df, "few")
         dim = dim.join(df.select(F.col(key).alias(k)).distinct(), F.col(key) == F.col(k), "left_semi")
     d = unique_keys(dim, key, value, last_by).select(F.col(key).alias(k), F.col(value).alias(v))
     out = df.join(d, F.col(key) == F.col(k), "left").withColumn(value, name_or_key(v, F.col(key).cast("string"))).drop(k, v)
